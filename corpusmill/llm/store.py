@@ -31,10 +31,10 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/corpusmill/{tag}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+def keep(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +57,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only if the counted ``rows`` are within ``limit``; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Send at most ``rows`` rows at once to Python workers, as a row may hold a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))

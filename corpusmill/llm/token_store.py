@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,22 +36,82 @@ NULL_ID = -(1 << 63)
 MAGIC = b"TKB1"
 HEAD = struct.Struct("<4s5Q")
 #: A block closes once it holds this many tokens; a longer document has a block of its own.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 #: Documents of this many tokens, about, make one file.
-FILE_TOKENS = 8_000_000
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+FILE_TOKENS = 4_000_000
+#: Slots of a worker's table of pieces, as a power of 2; it starts anew when half full.
+TABLE_BITS = 22
+#: Bytes of text encoded together, and of the longest piece that is remembered.
+GROUP_BYTES = 1 << 20
+LONGEST_PIECE = 64
+#: Marks that may follow a word.
+_MARKS = ".,!?;:%$#&*"
 
 #: White space other than space and line feed; such texts go to the tokenizer whole.
 _OTHER_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　\x00]"
 
 
+class PieceTable:
+    """Token ids of pieces by two 64-bit hashes: an open-addressing table of arrays, looked up many keys at once."""
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.at, self.length = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.ids, self.used, self.count = np.zeros(1 << 16, "<u2"), 0, 0
+
+    def _slots(self, key: np.ndarray, step: int) -> np.ndarray:
+        return ((key >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for those not there."""
+        out = np.full(len(key), -1, np.int64)
+        open_, step = np.arange(len(key)), 0
+        while len(open_):
+            s = self._slots(key[open_], step)
+            there = self.key[s]
+            hit = (there == key[open_]) & (self.check[s] == check[open_])
+            out[open_[hit]] = s[hit]
+            open_ = open_[~hit & (there != 0)]
+            step += 1
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Keys must be distinct and not there yet."""
+        length = np.array([len(x) for x in ids], dtype=np.int64)
+        start = self.used + np.cumsum(length) - length
+        end = self.used + int(length.sum())
+        if end > len(self.ids):
+            grown = np.zeros(max(end, 2 * len(self.ids)), "<u2")
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : end] = np.concatenate(ids)
+        self.used, self.count = end, self.count + len(ids)
+        open_, step = np.arange(len(key)), 0
+        while len(open_):
+            s = self._slots(key[open_], step)
+            first = np.zeros(len(s), bool)
+            first[np.unique(s, return_index=True)[1]] = True
+            take = first & (self.key[s] == 0)
+            mine, at = open_[take], s[take]
+            self.key[at], self.check[at] = key[mine], check[mine]
+            self.at[at], self.length[at] = start[mine], length[mine]
+            open_ = open_[~take]
+            step += 1
+
+
 class PieceEncoder:
     """Encodes with the ``tokenizers`` library, remembering the ids of pieces seen before.
 
     A byte-level vocabulary cuts a text before any tokenizing wherever a space or line feed follows a
-    character that is no white space. So such pieces can be encoded one by one. Texts with other white
-    space, runs of white space, or white space at the end are encoded whole.
+    character that is no white space, and between an ASCII letter or digit and a mark after it. So such
+    pieces can be encoded one by one, each new one once. Pieces are told apart by two hashes of their
+    bytes, for which long pieces are no matter: texts with one, with other white space, with runs of
+    white space, or with white space at the end are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -63,45 +124,139 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        (self.nul,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.odd = re.compile(_OTHER_SPACE)
-        self.known: dict[str, bytes] = {}
+        self.table = PieceTable()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece; many go in one call as words of one sequence, each followed by a NUL, which no piece holds."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            words = ["\0"] * (2 * len(part))
+            words[::2] = part
+            (e,) = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u2")
+            ends = np.flatnonzero(ids == self.nul).tolist()
+            out += [ids[a:b] for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as unsigned little-endian 16-bit numbers."""
         out: list = [None] * len(texts)
-        plain, pieces, whole = [], [], []
+        whole, group, size = [], [], 0
         for i, t in enumerate(texts):
             if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[-1:] in (" ", "\n") or self.odd.search(t):
                 whole.append(i)
-            else:
-                plain.append(i)
-                pieces.append(t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
+                continue
+            group.append((i, t.encode("utf-8", "surrogatepass")))
+            size += len(group[-1][1])
+            if size > GROUP_BYTES:
+                self._group(group, out, whole)
+                group, size = [], 0
+        self._group(group, out, whole)
         for i, b in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = b
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*pieces).difference(known)) if pieces else []
-        known.update(zip(new, self._whole(new), strict=True))
-        for i, p in zip(plain, pieces, strict=True):
-            out[i] = b"".join(map(known.__getitem__, p))
         return out
 
+    def _group(self, group: list[tuple[int, bytes]], out: list, whole: list[int]) -> None:
+        """Encode texts together; those with a long piece are added to ``whole``."""
+        if not group:
+            return
+        raw = b"\0".join([t for _, t in group]) + b"\0"
+        b = np.frombuffer(raw, np.uint8)
+        kind = _KIND[b]
+        cut = (kind >= 4) | (kind == 2)
+        cut[1:] &= (kind[1:] != 2) | (kind[:-1] == 1)
+        cut[1:] |= kind[:-1] == 5
+        cut[0] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(b))
+        power, inverse = _powers(len(b) + 1)
+        wide, hashes = b.astype(np.uint64) + np.uint64(1), []
+        for p, q in zip(power, inverse, strict=True):
+            total = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(wide * p[: len(b)], out=total[1:])
+            hashes.append(_mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64)))
+        key, check = hashes[0] | np.uint64(1), hashes[1]  # 0 marks a free slot
+        stop = np.flatnonzero(b[start] == 0)  # the NUL after each text
+        longest = np.maximum.reduceat(end - start, np.concatenate([[0], stop[:-1] + 1]))
+        table = self.table
+        slot = table.find(key, check)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            _, first, same = np.unique(key[missing], return_index=True, return_inverse=True)
+            if (check[missing] != check[missing][first][same]).any():  # two pieces of one hash
+                whole.extend(i for i, _ in group)
+                return
+            new = missing[first]
+            # Long pieces only fill a place here, as their texts are encoded whole.
+            some = [raw[a:z].decode("utf-8", "surrogatepass") if z - a <= LONGEST_PIECE else "x" for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            table.add(key[new], check[new], self._pieces(["x" if x == "\0" else x for x in some]))
+            slot[missing] = table.find(key[missing], check[missing])
+        length = table.length[slot].astype(np.int64)
+        length[stop] = 0
+        upto = np.cumsum(length)
+        place = np.arange(int(upto[-1])) + np.repeat(table.at[slot] - (upto - length), length)
+        flat = table.ids[place].tobytes()
+        ends = (2 * upto[stop]).tolist()
+        for (i, _), a, z, n in zip(group, [0, *ends[:-1]], ends, longest.tolist(), strict=True):
+            if n > LONGEST_PIECE:
+                whole.append(i)
+            else:
+                out[i] = flat[a:z]
+        if table.count > 1 << (table.bits - 1):
+            table.clear()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: list[list[np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Powers of the multipliers, and of their inverses, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        both = [m for m in _MULTIPLIERS], [pow(m, -1, 1 << 64) for m in _MULTIPLIERS]
+        _POWERS[:] = [[np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, m, dtype=np.uint64))]) for m in ms] for ms in both]
+    return _POWERS[0], _POWERS[1]
+
+
+#: What a byte is: 1 letter or digit, 2 mark, 4 space or line feed, 5 NUL, 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[[ord(c) for c in _MARKS]] = 2
+_KIND[[32, 10]] = 4
+_KIND[0] = 5
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of this process, which later tasks go on with."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
 
 def _encoder(path: str, name: str):
     """A mapInPandas function adding ``ids`` (16-bit numbers with the end id) and ``n``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = PieceEncoder(path)
+        coder = encoder(path)
         end = np.array([END_ID], dtype="<u2").tobytes()
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                ids = [b + end for b in coder.encode([t or "" for t in part[name]])]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "bucket": part["bucket"], "n": [len(b) // 2 for b in ids], "ids": ids})
+        for part in batches:
+            ids = [b + end for b in coder.encode([t or "" for t in part[name]])]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "bucket": part["bucket"], "n": [len(b) // 2 for b in ids], "ids": ids})
 
     return run
 
@@ -109,8 +264,7 @@ def _encoder(path: str, name: str):
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(1 << 16, dtype=np.int64)
     for pdf in batches:
-        for b in pdf["ids"]:
-            total += np.bincount(np.frombuffer(b, "<u2"), minlength=1 << 16)
+        total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), "<u2"), minlength=1 << 16)
     held = np.flatnonzero(total)
     yield pd.DataFrame({"token": held, "count": total[held]})
 
@@ -122,11 +276,20 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit numbers. The last group is filled up with zeros of one byte, left out of the data."""
     v = np.ascontiguousarray(values, dtype="<u4")
-    size = 1 + (v >= 1 << 8).astype(np.uint8) + (v >= 1 << 16) + (v >= 1 << 24)
+    size = np.ones(len(v), dtype=np.uint8)
+    for k in (8, 16, 24):
+        size += v >= 1 << k
     padded = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
     padded[: len(v)] = size - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    start = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(start[-1]) + int(size[-1]) if len(v) else 0, dtype=np.uint8)
+    data[start] = v & 255
+    for k in (1, 2, 3):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            break
+        data[start[at] + k] = v[at] >> (8 * k) & 255
     return control.tobytes(), data.tobytes()
 
 
@@ -214,6 +377,7 @@ def _splits(docs: DataFrame, files: int) -> list[int]:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text") -> None:
     """Encode every text and write the folder ``path``. Files hold ascending ranges of doc_id."""
     spark = docs.sparkSession
+    store.bounded_batches(spark)
     some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     splits = _splits(some, min(10_000, 1 + size // (3 * FILE_TOKENS)))
@@ -221,7 +385,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
     find = F.udf(lambda d: bisect_left(splits, d + 1), "int") if len(splits) > 500 else None
     bucket = find("doc_id") if find else F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in splits]) if splits else F.array().cast("array<bigint>"), lambda s: s <= F.col("doc_id")))
     coded = some.withColumn("bucket", bucket).mapInPandas(_encoder(tokenizer, "text"), "doc_id long, bucket int, n long, ids binary")
-    coded = store.keep(coded, "token-ids")
+    coded = store.keep(coded, "token-ids", "zstd")
     counts = coded.select("ids").mapInPandas(_count, "token int, count long").groupBy("token").agg(F.sum("count").alias("count"))
     counts = [(r["token"], r["count"]) for r in counts.collect()]  # at most one row per vocabulary entry
     counts.sort(key=lambda x: (-x[1], x[0]))
@@ -238,8 +402,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
     store.discard(coded)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the folder: doc_id, start, n_tokens and ``ids``, its tokens as 32-bit little-endian numbers."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """Per document of the folder: doc_id, start, n_tokens and ``ids``, its tokens as 32-bit little-endian numbers.
+
+    ``digest``: instead of ``ids`` their checksum ``ids_crc32``.
+    """
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("token").collect()  # bounded by the vocabulary
     tokens = np.array([r["token"] for r in ranks], dtype="<u4")
 
@@ -250,15 +417,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ends = np.cumsum(counts).astype(np.int64)
                     begins = ends - counts.astype(np.int64)
                     whole = tokens[values].tobytes()
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": ids, "start": start + begins, "n_tokens": counts.astype(np.int64),
-                            "ids": [whole[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)],
-                        }
-                    )
+                    each = [whole[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                    told = {"ids_crc32": [zlib.crc32(x) for x in each]} if digest else {"ids": each}
+                    yield pd.DataFrame({"doc_id": ids, "start": start + begins, "n_tokens": counts.astype(np.int64), **told})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/blocks")
-    rows = files.select("content").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    rows = files.select("content").mapInPandas(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
     return rows.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -266,8 +430,7 @@ def token_report(docs: DataFrame, tokenizer: str, path: str | None = None) -> Da
     """Write the folder, read it back; per document doc_id, start, n_tokens and the checksum of its ids."""
     path = path or store.fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer, path)
-    rows = read_tokens(docs.sparkSession, path)
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(docs.sparkSession, path, digest=True)
 
 
 def checksum(ids: list[int]) -> int:
