@@ -9,9 +9,10 @@ point of each component; two signatures agree in a component with a probability
 Jaccard similarity. A block is followed only until its next point is later than all first points.
 
 Signatures are banded; documents that share a band are candidates. Copies of one word sequence are one
-node from the start. A node is first compared with the node of smallest doc_id in each of its bands;
-later rounds compare what is still apart within a band, a band's nodes being dealt to bounded chunks.
-Every link is verified on the whole texts. Classes are the components of the verified links.
+node from the start. A node is first compared with the nodes of smallest doc_id of its bands. Where that
+leaves a cluster of band-sharing nodes in more than one component, all nodes outside its largest one are
+compared with all its nodes, dealt to chunks of bounded size. Every link is verified on the whole texts.
+Classes are the components of the verified links.
 
 Defined results: words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z
 lower-cased; a text of one to four words is one shingle; texts without words (null, empty, symbols) are
@@ -37,15 +38,19 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
-#: Pairs whose signatures agree less can't reach SIMILAR but with a chance under 1e-6.
-AGREE = 0.62
-#: Nodes of one band compared in one task; a larger band has more chunks.
-CHUNK = 4096
-#: Best partners that a node sends from a chunk to verification in one round.
-BEST = 3
+#: Pairs whose signatures agree less reach SIMILAR with a chance under 1 in 2000.
+AGREE = 0.68
+#: Shingles compared with each other in one task, on either side; a larger cluster has more chunks.
+CHUNK = 4_000_000
+#: Shingles that more nodes of a chunk share are counted by matrix products.
+DENSE = 24
+#: Nodes of a chunk whose overlaps are in memory at once.
+BLOCK_ROWS = 512
 BROADCAST_ROWS = 400_000
 #: Bytes of text hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: Documents signed at once; their shingles are in memory together.
+SIGNED_ROWS = 64
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
@@ -195,8 +200,8 @@ _SIGNED = "doc_id long, rk long, fp binary, node long, words boolean, bands arra
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     salt = mix64(np.arange(COMPONENTS, dtype=np.uint64) + _U(77))
     for pdf in batches:
-        for at in range(0, len(pdf), 512):
-            part = pdf.iloc[at : at + 512]
+        for at in range(0, len(pdf), SIGNED_ROWS):
+            part = pdf.iloc[at : at + SIGNED_ROWS]
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in part["text"]]
             words = word_hashes(raw)
             sig = mix64(signatures([bag(h) for h in words]) + salt)
@@ -236,25 +241,105 @@ def _agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
     return (x == y).mean(axis=1)
 
 
-def _closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Of each node of ``left`` the nodes of other components in ``right`` that agree most."""
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "agree": pd.Series(dtype="float64")})
-    if not len(left) or not len(right):
-        return none
-    r = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, COMPONENTS)
-    rc, rn = right["label"].to_numpy(), right["node"].to_numpy()
-    out = []
-    for node, label, sig in zip(left["node"].tolist(), left["label"].tolist(), left["sig"], strict=True):
-        agree = (r == np.frombuffer(sig, np.uint8)).mean(axis=1)
-        agree[rc == label] = 0
-        top = np.argsort(-agree, kind="stable")[:BEST]
-        out += [(node, rn[i], agree[i]) for i in top if agree[i] >= AGREE]
-    return pd.DataFrame(out, columns=["a", "b", "agree"]) if out else none
+def leveled(bag_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: a shingle of count w stands for w members, so that common members count the smaller multiplicities."""
+    s, c = bag_
+    level = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    return mix64(np.repeat(s, c) + level.astype(np.uint64) * _P)
 
 
-def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _leveled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sets = [leveled(bag(h)) for h in word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]])]
+        yield pd.DataFrame({"node": pdf["node"], "members": [m.tobytes() for m in sets], "size": [len(m) for m in sets]})
+
+
+def _overlaps(lv: np.ndarray, lo: np.ndarray, n: int, rv: np.ndarray, ro: np.ndarray, m: int) -> np.ndarray:
+    """How many members each of ``n`` sets (values lv, owners lo) has in common with each of ``m`` sets (rv ascending, ro).
+
+    Members that many of the right have are counted by matrix products, rare ones pair by pair.
+    """
+    keys, which = np.unique(lv, return_inverse=True)
+    begin = np.searchsorted(rv, keys, "left")
+    often = np.searchsorted(rv, keys, "right") - begin
+    both = np.zeros((n, m), np.float32)
+
+    def spread(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``some``, place in rv) of every right carrier of these keys."""
+        k = often[some]
+        row = np.repeat(np.arange(len(some)), k)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[some], k)
+
+    dense = np.flatnonzero(often > DENSE)
+    for k in range(0, len(dense), 2048):
+        some = dense[k : k + 2048]
+        place = np.full(len(keys), -1)
+        place[some] = np.arange(len(some))
+        hit = place[which] >= 0
+        a, b = np.zeros((n, len(some)), np.float32), np.zeros((len(some), m), np.float32)
+        a[lo[hit], place[which[hit]]] = 1
+        row, spot = spread(some)
+        b[row, ro[spot]] = 1
+        both += a @ b
+    rare = np.flatnonzero((often[which] > 0) & (often[which] <= DENSE))
+    for k in range(0, len(rare), 1 << 17):
+        part = rare[k : k + (1 << 17)]
+        row, spot = spread(which[part])
+        np.add.at(both.reshape(-1), lo[part][row] * m + ro[spot], 1)
+    return both
+
+
+def _forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Similar pairs (a of ``left``, b of ``right``) that join different components, as many as it takes. All pairs are compared exactly."""
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        ln, rn, ls, rs = left["node"].to_numpy(), right["node"].to_numpy(), left["size"].to_numpy(), right["size"].to_numpy()
+        lc, rc = left["label"].tolist(), right["label"].tolist()
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        rv = np.frombuffer(b"".join(right["members"]), np.uint64)
+        order = np.argsort(rv, kind="stable")
+        rv, ro = rv[order], np.repeat(np.arange(len(right)), rs)[order]
+        for at in range(0, len(left), BLOCK_ROWS):
+            size = ls[at : at + BLOCK_ROWS]
+            lv = np.frombuffer(b"".join(left["members"].iloc[at : at + BLOCK_ROWS]), np.uint64)
+            both = _overlaps(lv, np.repeat(np.arange(len(size)), size), len(size), rv, ro, len(right))
+            near = both >= SIMILAR * (size[:, None] + rs[None, :] - both) - 1e-6
+            for i, j in zip(*np.nonzero(near), strict=True):
+                x, y = root(lc[at + i]), root(rc[j])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(ln[at + i]), int(rn[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
+    """node and the whole text of its carrier, for each of ``nodes``."""
+    need = store.keep(nodes.distinct().join(ids.select("node", "rk"), "node"), "dup-need")
+    texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rk"), "text")
+    texts = texts.join(store.small(need, need.count(), BROADCAST_ROWS), "rk").select("node", "text")
+    return store.keep(texts.dropDuplicates(["node"]) if repeats else texts, "dup-texts")
+
+
+def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole texts are similar."""
+    texts = _texts(docs, ids, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), repeats)
+    half = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    half = store.keep(half, "dup-texts-half")
+    full = half.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    new = store.keep(full.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"), "dup-links")
+    store.discard(texts)
+    store.discard(half)
+    return new
+
+
+def _links(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
     """Verified links (a, b) between nodes."""
-    spark = docs.sparkSession
     ids = nodes.filter("words").select("node", "rep", "rk", "sig", "bands")
     keyed = store.keep(ids.select("node", "rep", F.explode("bands").alias("key")), "dup-bands")
     shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -262,6 +347,8 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     crowded = store.keep(keyed.join(shared, "key").select("key", "node", "pivot", "n"), "dup-crowded")
     store.discard(keyed)
     sig = ids.select("node", "sig")
+
+    # First round: each node and the best of its bands' heads.
     pairs = crowded.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = store.keep(pairs, "dup-half").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -270,63 +357,50 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(_agreement(a, b))
 
-    scored = pairs.withColumn("agree", agreement("sig_a", "sig_b")).filter(F.col("agree") >= AGREE).select("a", "b", "agree")
-    tried = None
-    links = None
-    while True:
-        # Each node goes to verification with its best partners only; the others' turn comes if it stays apart.
-        best = scored.groupBy("a").agg(F.max(F.struct("agree", F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b")) if tried is None else scored.select("a", "b").distinct()
-        if tried is not None:
-            best = best.join(tried, ["a", "b"], "left_anti")
-        best = store.keep(best, "dup-candidates")
-        if best.isEmpty():
-            break
-        tried = best if tried is None else store.keep(tried.union(best), "dup-tried")
-        need = best.select(F.col("a").alias("node")).union(best.select("b")).distinct().join(ids.select("node", "rk"), "node")
-        need = store.keep(need, "dup-need")
-        texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rk"), "text")
-        texts = texts.join(store.small(need, need.count(), BROADCAST_ROWS), "rk").select("node", "text")
-        texts = store.keep(texts.dropDuplicates(["node"]) if _repeats(docs) else texts, "dup-texts")
-        half = best.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        full = store.keep(half, "dup-texts-half").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        new = store.keep(full.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"), "dup-links")
-        store.discard(texts)
-        if new.isEmpty() and links is not None:
-            break
-        links = new if links is None else store.keep(links.union(new), "dup-links")
-        labels = components(links)
-        member = crowded.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"), "pivot")
-        member = store.keep(member, "dup-members")
-        heads = member.filter("node = pivot").select("key", F.col("label").alias("head"))
-        apart = member.join(store.keep(heads, "dup-heads"), "key").filter("label != head")
-        apart = store.keep(apart.select("key", "node", "n", "label"), "dup-apart")
-        # Nodes that are apart from their band's head meet all nodes of the band, chunk by chunk.
-        mixed = apart.select("key").distinct()
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        left = apart.join(sig, "node").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("key", "chunk", "node", "label", "sig")
-        right = member.join(mixed, "key", "left_semi").join(sig, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).select("key", "chunk", "node", "label", "sig")
-        left, right = store.keep(left, "dup-left"), store.keep(right, "dup-right")
-        if left.isEmpty():
-            break
-        scored = left.groupBy("key", "chunk").cogroup(right.groupBy("key", "chunk")).applyInPandas(_closest, "a long, b long, agree double")
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
-
+    scored = pairs.withColumn("agree", agreement("sig_a", "sig_b")).filter(F.col("agree") >= AGREE)
+    best = scored.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    tried = store.keep(best, "dup-candidates")
+    links = _verified(docs, ids, tried, repeats)
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some row is there twice (same doc_id and text)."""
-    rk = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rk"))
-    return not rk.groupBy("rk").count().filter("count > 1").isEmpty()
+    # Second round: clusters of nodes that bands connect, and of which the first round left more than one
+    # component. All nodes outside a cluster's largest component meet all its nodes, in bounded chunks.
+    clusters = components(crowded.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    labels = components(links)
+    member = clusters.select("node", F.col("label").alias("cluster")).join(labels, "node", "left")
+    member = store.keep(member.select("node", "cluster", F.coalesce("label", "node").alias("label")), "dup-members")
+    parts = member.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    inside = store.keep(member.join(store.keep(mixed.select("cluster", "main"), "dup-mixed"), "cluster"), "dup-inside")
+    if inside.isEmpty():
+        return links
+    texts = _texts(docs, ids, inside.select("node"), repeats)
+    sets = store.keep(texts.mapInPandas(_leveled, "node long, members binary, size long"), "dup-sets")
+    store.discard(texts)
+    full = store.keep(inside.join(sets, "node"), "dup-full")
+    apart = F.col("label") != F.col("main")
+    share = full.groupBy("cluster").agg(F.sum("size").alias("all"), F.sum(F.when(apart, F.col("size")).otherwise(0)).alias("some"))
+    share = share.select("cluster", F.ceil(F.col("all") / CHUNK).cast("int").alias("rights"), F.greatest(F.lit(1), F.ceil(F.col("some") / CHUNK).cast("int")).alias("lefts"))
+    full = full.join(store.keep(share, "dup-share"), "cluster")
+    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cols = ("cluster", "l", "r", "node", "label", "members", "size")
+    left = full.filter(apart).withColumn("l", spot(F.col("lefts"), 1)).withColumn("r", every(F.col("rights"))).select(*cols)
+    right = full.withColumn("r", spot(F.col("rights"), 2)).withColumn("l", every(F.col("lefts"))).select(*cols)
+    left, right = store.keep(left, "dup-left"), store.keep(right, "dup-right")
+    met = left.groupBy("cluster", "l", "r").cogroup(right.groupBy("cluster", "l", "r")).applyInPandas(_forest, "a long, b long")
+    return store.keep(links.union(met), "dup-links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, rk (row key), class_id (smallest doc_id) and class_rk (row key of the one that stays)."""
+    store.bounded_batches(docs.sparkSession)
     rk = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     signed = store.keep(docs.select("doc_id", rk.alias("rk"), "text").mapInPandas(_sign, _SIGNED), "dup-signed")
     carrier = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk"))
     nodes = signed.groupBy("node").agg(carrier.alias("c"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = store.keep(nodes.select("node", F.col("c.doc_id").alias("rep"), F.col("c.rk").alias("rk"), "c", "words", "bands", "sig"), "dup-nodes")
-    links = store.keep(_links(docs, nodes).distinct(), "dup-all-links")
-    labels = components(links)
+    repeats = not signed.groupBy("rk").count().filter("count > 1").isEmpty()
+    labels = components(_links(docs, nodes, repeats))
     known = nodes.select("node", "c").join(labels, "node", "left")
     known = store.keep(known.select("node", "c", F.coalesce("label", "node").alias("label")), "dup-labels")
     heads = store.keep(known.groupBy("label").agg(F.min("c").alias("head")), "dup-heads")
@@ -346,6 +420,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = store.keep(gone, "dup-gone")
     keyed = docs.withColumn("__rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     left = keyed.join(store.small(gone, gone.count(), BROADCAST_ROWS), "__rk", "left_anti")
-    if _repeats(docs):
+    if not found.groupBy("rk").count().filter("count > 1").isEmpty():
         left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__rk").orderBy("__rk"))).filter("__n = 1")
     return left.select(*docs.columns)

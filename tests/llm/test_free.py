@@ -162,7 +162,7 @@ def test_near_duplicates(spark, monkeypatch):
             w[at] = f"n{i}"
         rows.append((i, " ".join(w), "en"))
     rows += [(200, None, "en"), (201, "", "en"), (202, "!!", "en"), (203, "!!", "en"), (204, "One two", "en"), (205, "one, TWO", "en"), (5, rows[5][1], "en"), (206, "spam " * 4000, "en"), (207, "spam " * 3900, "en"), (208, "x" * 3_000_000, "en")]
-    monkeypatch.setattr(neardup, "CHUNK", 16)
+    monkeypatch.setattr(neardup, "CHUNK", 3000)
     want = near_classes(rows)
     got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicate_report(docs(spark, rows)).collect())
     assert sum((got & want).values()) >= 0.98 * len(rows)
