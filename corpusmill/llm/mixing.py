@@ -3,8 +3,8 @@
 Each document has a fixed 63-bit hash. A source that must give ``target`` words of its ``size`` repeats
 every document ``floor(target / size)`` times and fills the rest with the documents whose hash lies
 under a threshold. The threshold is found from histograms: words by source and hash bucket, then only
-the boundary bucket is split again, until the boundary is a single hash. What the boundary document
-leaves open is filled in the same way by smaller documents above the threshold (nested budgets).
+the boundary bucket is split again, until the boundary is a single hash. Budgets are nested by size: the
+few large documents of a source are dealt with first, and smaller ones make up for their boundary.
 Nothing is sorted and no document row reaches the driver.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; rows
@@ -27,11 +27,14 @@ HASH_BITS = 63
 LEVEL_BITS = 9
 MOST_COPIES = 3
 #: Nested fills of what a boundary document leaves open; they stop once all sources are this near.
-FILLS, NEAR = 6, 0.0005
+FILLS, NEAR = 4, 0.0005
 #: A table of sources up to this many rows is broadcast.
 BROADCAST_SOURCES = 50_000
 
-_STATE = "src string, prefix long, budget long, least_h long, most_size long"
+#: Large documents are dealt with first: those of more than a 4th of their source, then a 16th, and so on.
+CLASSES = (4, 16, 64, 256)
+
+_STATE = "src string, prefix long, budget long, least_h long, over long, most long"
 
 
 def source_order(sources: Sequence[str | None]) -> list[str | None]:
@@ -58,7 +61,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float], most: float
 
 
 def _boundaries(words: DataFrame, state: dict) -> dict:
-    """For each source of ``state`` (budget, least hash, largest size): (threshold, what it leaves open).
+    """For each source of ``state`` (budget, least hash, size over, largest size): (threshold, what it leaves open, words of the rows at it).
 
     A threshold of None means that all eligible rows fit.
     """
@@ -68,7 +71,7 @@ def _boundaries(words: DataFrame, state: dict) -> dict:
         table = spark.createDataFrame([(s, *v) for s, v in open_.items()], _STATE)
         shift = HASH_BITS - bits
         joined = words.join(store.small(table, len(open_), BROADCAST_SOURCES), words["source"].eqNullSafe(table["src"]))
-        joined = joined.filter((F.col("h") >= F.col("least_h")) & (F.col("size") <= F.col("most_size")) & (F.col("size") > 0))
+        joined = joined.filter((F.col("h") >= F.col("least_h")) & (F.col("size") <= F.col("most")) & (F.col("size") > F.col("over")))
         if bits:
             joined = joined.filter(F.shiftright("h", shift) == F.col("prefix"))
         bucket = F.shiftright("h", shift - LEVEL_BITS).alias("bucket")
@@ -77,17 +80,17 @@ def _boundaries(words: DataFrame, state: dict) -> dict:
         hist = hist.withColumn("upto", F.sum("sum").over(by)).filter(F.col("upto") > F.col("budget"))
         first = hist.groupBy("src").agg(F.min(F.struct("bucket", "upto", "sum", "lo", "hi")).alias("b"))
         found = {r["src"]: r["b"] for r in first.collect()}
-        for s, (_, budget, least, most) in list(open_.items()):
+        for s, (_, budget, *rest) in list(open_.items()):
             if s not in found:
-                done[s] = (None, budget)
+                done[s] = (None, budget, 0)
                 del open_[s]
                 continue
             b, left = found[s], budget - (found[s]["upto"] - found[s]["sum"])
             if b["lo"] == b["hi"]:
-                done[s] = (b["lo"], left)
+                done[s] = (b["lo"], left, b["sum"])
                 del open_[s]
             else:
-                open_[s] = (b["bucket"], left, least, most)
+                open_[s] = (b["bucket"], left, *rest)
         bits += LEVEL_BITS
     return done
 
@@ -108,27 +111,47 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> tuple[Dat
     aim = targets(sizes, weights)
     whole = {s: min(MOST_COPIES, int(aim[s] // n)) if n else 0 for s, n in sizes.items()}
     open_ = {s: round(aim[s] - whole[s] * n) for s, n in sizes.items() if n and whole[s] < MOST_COPIES}
-    fills: dict = {s: [] for s in sizes}  # (hash from, hash below, largest size)
-    state = {s: (budget, 0, budget) for s, budget in open_.items() if budget > 0}
+    fills: dict = {s: [] for s in sizes}  # (hash from, hash below, size over, largest size)
+    bounds = {s: [*(n // c for c in CLASSES), 0] for s, n in sizes.items()}
+    table = spark.createDataFrame([(s, b) for s, b in bounds.items()], "src string, bounds array<bigint>")
+    number = F.size(F.filter("bounds", lambda b: F.col("size") <= b)).alias("k")
+    classed = words.filter("size > 0").join(store.small(table, len(bounds), BROADCAST_SOURCES), words["source"].eqNullSafe(table["src"]))
+    held: dict = {s: [0] * len(bounds[s]) for s in sizes}
+    for r in classed.groupBy("src", number).agg(F.sum("size").alias("n")).collect():  # a few rows per source
+        held[r["src"]][r["k"]] = r["n"]
+    left = {s: budget for s, budget in open_.items() if budget > 0}
+    after: dict = {}
+    for k in range(len(CLASSES) + 1):
+        # Each class gives its share of what is still open; a smaller class makes up for a larger one's boundary.
+        state = {}
+        for s, budget in left.items():
+            if held[s][k] and budget > 0:
+                top = bounds[s][k - 1] if k else sizes[s]
+                state[s] = (round(budget * held[s][k] / sum(held[s][k:])), 0, bounds[s][k], top)
+        for s, (below, open_words, at) in (_boundaries(words, state) if state else {}).items():
+            budget, least, over, top = state[s]
+            nearer = below is not None and at - open_words < open_words
+            fills[s].append((least, below + nearer if below is not None else None, over, top))
+            left[s] -= budget - open_words + at * nearer
+            after[s] = (fills[s][-1][1], over)
     for _ in range(FILLS):
+        # What is open still goes to documents of the last class that fit.
+        state = {s: (left[s], b, over, left[s]) for s, (b, over) in after.items() if b is not None and left[s] > NEAR * aim[s] and left[s] > over}
         if not state:
             break
-        # Only documents that can fit are eligible, so no fill overshoots its budget.
         after = {}
-        for s, (below, left) in _boundaries(words, state).items():
-            _, least, most = state[s]
-            fills[s].append((least, below, most))
-            if below is not None and left > NEAR * aim[s]:
-                after[s] = (left, below, min(left, most))
-        state = after
+        for s, (below, open_words, _) in _boundaries(words, state).items():
+            _, least, over, top = state[s]
+            fills[s].append((least, below, over, top))
+            left[s], after[s] = open_words, (below, over)
     plan = [(s, sizes[s], float(aim[s]), whole[s], fills[s]) for s in sizes]
-    ddl = "src string, source_size long, target double, whole int, fills array<struct<a:bigint,b:bigint,m:bigint>>"
+    ddl = "src string, source_size long, target double, whole int, fills array<struct<a:bigint,b:bigint,over:bigint,m:bigint>>"
     return words, store.small(spark.createDataFrame(plan, ddl), len(plan), BROADCAST_SOURCES)
 
 
 def _copies(h: str, size: str):
     """How often the plan beside a row takes it."""
-    taken = F.exists("fills", lambda f: (F.col(h) >= f["a"]) & (f["b"].isNull() | (F.col(h) < f["b"])) & (F.col(size) <= f["m"]))
+    taken = F.exists("fills", lambda f: (F.col(h) >= f["a"]) & (f["b"].isNull() | (F.col(h) < f["b"])) & (F.col(size) > f["over"]) & (F.col(size) <= f["m"]))
     return F.col("whole") + F.when(taken, 1).otherwise(0)
 
 
