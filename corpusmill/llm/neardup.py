@@ -219,6 +219,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "words": some, "bands": [c if k else [] for c, k in zip(chain, some, strict=True)], "sig": [s.tobytes() for s in small],
                 }
             )
+    store.release()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,6 +235,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         good = [weighted_jaccard(bag(word_hashes([(x or "").encode("utf-8", "surrogatepass")])[0]), of(b, y)) >= SIMILAR - 1e-12 for x, b, y in zip(pdf["text_a"], pdf["b"].tolist(), pdf["text_b"], strict=True)]
         yield pdf.loc[good, ["a", "b"]]
+    store.release()
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -353,11 +355,12 @@ def _links(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     pairs = store.keep(pairs, "dup-half").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_agreement(a, b))
+    def agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            agree = _agreement(pdf["sig_a"], pdf["sig_b"])
+            yield pdf[["a", "b"]].assign(agree=agree)[agree >= AGREE]
 
-    scored = pairs.withColumn("agree", agreement("sig_a", "sig_b")).filter(F.col("agree") >= AGREE)
+    scored = pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(agreement, "a long, b long, agree double")
     best = scored.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     tried = store.keep(best, "dup-candidates")
     links = _verified(docs, ids, tried, repeats)

@@ -64,3 +64,17 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system, at the end of a task."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)

@@ -40,9 +40,9 @@ BLOCK_TOKENS = 1 << 18
 #: Documents of this many tokens, about, make one file.
 FILE_TOKENS = 4_000_000
 #: Slots of a worker's table of pieces, as a power of 2; it starts anew when half full.
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: Bytes of text encoded together, and of the longest piece that is remembered.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 LONGEST_PIECE = 64
 #: Marks that may follow a word.
 _MARKS = ".,!?;:%$#&*"
@@ -61,7 +61,7 @@ class PieceTable:
     def clear(self) -> None:
         n = 1 << self.bits
         self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.at, self.length = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.at, self.length = np.zeros(n, np.uint32), np.zeros(n, np.uint8)
         self.ids, self.used, self.count = np.zeros(1 << 16, "<u2"), 0, 0
 
     def _slots(self, key: np.ndarray, step: int) -> np.ndarray:
@@ -200,7 +200,7 @@ class PieceEncoder:
         length = table.length[slot].astype(np.int64)
         length[stop] = 0
         upto = np.cumsum(length)
-        place = np.arange(int(upto[-1])) + np.repeat(table.at[slot] - (upto - length), length)
+        place = np.arange(int(upto[-1])) + np.repeat(table.at[slot].astype(np.int64) - (upto - length), length)
         flat = table.ids[place].tobytes()
         ends = (2 * upto[stop]).tolist()
         for (i, _), a, z, n in zip(group, [0, *ends[:-1]], ends, longest.tolist(), strict=True):
@@ -257,11 +257,20 @@ def _encoder(path: str, name: str):
         for part in batches:
             ids = [b + end for b in coder.encode([t or "" for t in part[name]])]
             yield pd.DataFrame({"doc_id": part["doc_id"], "bucket": part["bucket"], "n": [len(b) // 2 for b in ids], "ids": ids})
+        store.release()
 
     return run
 
 
+def _forget() -> None:
+    """Drop what encoding has left in this worker, for the steps after it."""
+    _ENCODERS.clear()
+    _POWERS.clear()
+    store.release()
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _forget()
     total = np.zeros(1 << 16, dtype=np.int64)
     for pdf in batches:
         total += np.bincount(np.frombuffer(b"".join(pdf["ids"]), "<u2"), minlength=1 << 16)
@@ -333,6 +342,7 @@ def _writer(ranks: np.ndarray, starts: dict[int, int]):
     """A mapInPandas function from sorted rows to blocks. ``ranks``: by token; ``starts``: first place of each bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _forget()
         place, bucket, held = 0, None, 0
         ids: list[int] = []
         counts: list[int] = []
@@ -411,6 +421,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     tokens = np.array([r["token"] for r in ranks], dtype="<u4")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _forget()
         for pdf in batches:
             for raw in pdf["content"]:
                 for start, ids, counts, values in read_blocks(raw):

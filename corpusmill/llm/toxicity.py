@@ -29,9 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .labelled import sample
 from .langid import fold
 
@@ -46,7 +48,9 @@ TELLING = 10
 #: Characters put between those of a witness, one at a time, to train on disguised words too.
 DISGUISE = "-.*x1"
 RIDGE = 1e-3
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Words scored at once.
+BATCH = 1024
 CUT = 0.5
 
 #: Symbols of the alphabet, and subsequences after hashing.
@@ -168,7 +172,7 @@ class ToxicityModel:
         """Of each word, of its worst piece."""
         cut = [pieces(w) for w in batch]
         flat = [p for c in cut for p in c]
-        value = np.concatenate([self.landmarks.kernel(flat[i : i + 4096]) @ self.weights + self.bias for i in range(0, len(flat), 4096)]) if flat else np.zeros(0)
+        value = np.concatenate([self.landmarks.kernel(flat[i : i + BATCH]) @ self.weights + self.bias for i in range(0, len(flat), BATCH)]) if flat else np.zeros(0)
         starts = np.cumsum([0, *[len(c) for c in cut]])[:-1]
         return np.maximum.reduceat(value, starts) if len(value) else value
 
@@ -274,7 +278,10 @@ def train(bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
     vocabulary = sorted(set(toxic) | set(clean))
     index = {w: i for i, w in enumerate(vocabulary)}
     flat = [pieces(w)[0] for w in vocabulary]
-    phi = np.concatenate([lm.kernel(flat[i : i + 4096]) for i in range(0, len(flat), 4096)]) @ root
+    # The largest array of the fit: words x landmarks in single precision, filled a batch at a time.
+    phi = np.empty((len(flat), len(marks)), np.float32)
+    for i in range(0, len(flat), BATCH):
+        phi[i : i + BATCH] = lm.kernel(flat[i : i + BATCH]) @ root
     own = [np.array([index[w] for w in b], dtype=np.int64) for b in bags]
     counter = np.array(sorted({i for b, k in zip(own, y, strict=True) if not k for i in b.tolist()}), dtype=np.int64)
     now = np.array([value_of.get(w, 0.0) for w in vocabulary])
@@ -291,7 +298,7 @@ def train(bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
         if not len(witness) or not len(neg):
             break
         disguised = [w[:i] + c + w[i:] for w in (vocabulary[k] for k in witness) if 4 <= len(w) < LONGEST for i, c in zip(range(1, len(w)), DISGUISE * LONGEST, strict=False)]
-        masked = np.concatenate([np.zeros((0, len(marks))), *[lm.kernel(disguised[i : i + 4096]) @ root for i in range(0, len(disguised), 4096)]])
+        masked = np.concatenate([np.zeros((0, len(marks))), *[lm.kernel(disguised[i : i + BATCH]) @ root for i in range(0, len(disguised), BATCH)]])
         z = np.concatenate([phi[witness], masked, phi[neg]])
         t = np.concatenate([np.ones(len(witness) + len(masked)), -np.ones(len(neg))])
         cost = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(masked), 0.5 / max(1, len(masked))), np.full(len(neg), 3 / len(neg))])
@@ -310,6 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> ToxicityModel:
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score of each whole text; no other column is looked at."""
+    store.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = model.scorer()
@@ -317,6 +325,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": of(part["text"].tolist())})
+        store.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
 
@@ -330,15 +339,14 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is not predicted toxic, all columns kept."""
+    store.bounded_batches(docs.sparkSession)
     model = fit(docs, labels, fold(5) != 0)
 
-    @F.pandas_udf("double")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for texts in batches:
-            got: list[float] = []
-            for at in range(0, len(texts), 256):
-                got += of(texts.iloc[at : at + 256].tolist())
-            yield pd.Series(got, dtype="float64")
+        for batch in batches:
+            keep = np.array(of(batch.column("text").to_pylist())) < CUT
+            yield batch.filter(pa.array(keep, pa.bool_()))
+        store.release()
 
-    return docs.filter(toxic("text") < CUT)
+    return docs.mapInArrow(run, docs.schema)
