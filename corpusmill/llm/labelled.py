@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, chars: int) -> DataFrame:
@@ -15,7 +14,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each:
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
     marks = marks.agg(F.min(label).alias("y"), F.max(label).alias("top")).filter("y = top").select("doc_id", "y")
     short = docs.filter(learn & F.col("doc_id").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = short.select("doc_id").distinct().join(marks, "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
-    # At most 2 x each rows are broadcast.
+    marked = short.select("doc_id").distinct().join(marks, "doc_id")
+    # Each task sends its first rows only, and at most 2 x each rows are broadcast.
+    first = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
+    ids = first[0].unionByName(first[1])
     return short.join(F.broadcast(ids.select("doc_id", "y")), "doc_id").select("doc_id", "y", "text")

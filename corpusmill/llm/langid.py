@@ -3,7 +3,7 @@
 Texts are lower-cased and every other character than a letter becomes a space; n-grams of one to three
 characters are hashed to ``FEATURES`` columns. Document frequencies come from all documents of the
 learning fold. The weights are fitted by follow-the-regularised-leader with elastic-net penalties on a
-bounded sample (``FIT_DOCS`` documents, shared out evenly among languages), and the temperature of the
+bounded sample (about ``FIT_DOCS`` documents, never more than twice that, shared out evenly among languages), and the temperature of the
 softmax is then set on a part of the sample that the weights have not seen.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows without lang are not
@@ -20,10 +20,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 FEATURES = 1 << 14
 FIT_DOCS = 3000
+HASHES = 1_000_003
 #: Sample documents with more characters are read in full for frequencies but not used to fit weights.
 FIT_CHARS = 100_000
 EPOCHS = 4
@@ -156,14 +156,19 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
     idf = np.full(FEATURES, np.log(1 + total) + 1)
     idf[list(df)] = np.log((1 + total) / (1 + np.array(list(df.values())))) + 1
     idf = idf.astype(np.float32)
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    short = rows.filter(F.length("text") <= FIT_CHARS).select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(sizes)
     model = LanguageModel(languages, idf, np.zeros((FEATURES, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0)
     if not languages:
         return model
-    each = -(-FIT_DOCS // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(F.length("text") <= FIT_CHARS).select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
-    wanted = F.broadcast(ids.select("doc_id").distinct())  # FIT_DOCS rows and one per language at most
+    # Every language gives the documents under a hash threshold that leaves about its share of the sample.
+    each = FIT_DOCS / len(languages)
+    cut = F.lit(0)
+    for name, n in sizes.items():
+        cut = F.when(F.col("lang") == name, F.lit(int(HASHES * min(1.0, each / n)))).otherwise(cut)
+    ids = short.filter(F.col("h") < cut).orderBy("h", "doc_id").limit(2 * FIT_DOCS)
+    wanted = F.broadcast(ids.select("doc_id").distinct())
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
