@@ -111,7 +111,7 @@ class PieceEncoder:
     character that is no white space, and between an ASCII letter or digit and a mark after it. So such
     pieces can be encoded one by one, each new one once. Pieces are told apart by two hashes of their
     bytes, for which long pieces are no matter: texts with one, with other white space, with runs of
-    white space, or with white space at the end are encoded whole.
+    white space, with white space at the end, or with an added token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -121,11 +121,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         (self.nul,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
-        self.odd = re.compile(_OTHER_SPACE)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_OTHER_SPACE, *added]))
         self.table = PieceTable()
 
     def _whole(self, texts: list[str]) -> list[bytes]:

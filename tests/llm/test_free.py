@@ -57,6 +57,21 @@ def test_tokens(spark):
     assert token_store.token_report(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_added_tokens_have_their_own_id(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    rows = [(i, t, "en") for i, t in enumerate(["<|endoftext|> a", "plain", "one.<|endoftext|>two", "<|endoftext|><|endoftext|>", "<|endoftext| >", "last one"])]
+    got = token_store.token_report(docs(spark, rows), tokenizer_path()).collect()
+    place, want = 0, []
+    for i, t, _ in rows:
+        ids = [*fresh.encode(t, add_special_tokens=False).ids, token_store.END_ID]
+        assert (50256 in ids) == ("<|endoftext|>" in t)
+        want.append((i, place, len(ids), token_store.checksum(ids)))
+        place += len(ids)
+    assert sorted(map(tuple, got)) == want
+
+
 def test_many_files(spark, monkeypatch):
     monkeypatch.setattr(token_store, "FILE_TOKENS", 100)
     monkeypatch.setattr(token_store, "BLOCK_TOKENS", 50)
