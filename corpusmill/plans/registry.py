@@ -14,7 +14,7 @@ _SQL = {name: sql for name, (_, sql) in _ALL.items() if sql} | {"streaming_inges
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: cosine and BM25 rankings fused by reciprocal ranks."""
-    return search_queries.rrf_fusion(spark, sf_dir).filter("fused_rank <= 6")
+    return search_queries.rrf_fusion(spark, sf_dir, None).filter("fused_rank <= 6")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,9 +16,10 @@ QUERIES_UNDER = 20
 K = 20
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first benchmark texts as queries, each with the vector of its number."""
-    b = table(spark, sf_dir, "benchmark").filter(F.col("item_id") < QUERIES_UNDER)
+def _asked(spark: SparkSession, sf_dir: str, under: int | None = QUERIES_UNDER) -> DataFrame:
+    """Benchmark texts as queries, each with the vector of its number: the first ones, as the SQL has them, or all (None)."""
+    b = table(spark, sf_dir, "benchmark")
+    b = b if under is None else b.filter(F.col("item_id") < under)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     return b.join(v, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "vector")
 
@@ -31,9 +32,9 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_STATS = f"WITH {BM25_CTES} SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avgdl FROM idf JOIN df USING (term), size"
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_topk(spark: SparkSession, sf_dir: str, under: int | None = QUERIES_UNDER) -> DataFrame:
     chunks = document_chunks(spark, sf_dir)
-    scores = lexical.Bm25Index(chunks).scores(_asked(spark, sf_dir))
+    scores = lexical.Bm25Index(chunks).scores(_asked(spark, sf_dir, under))
     return lexical.lexical_ranking(scores, K, digits=6)
 
 
@@ -80,8 +81,8 @@ def cosine_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 COSINE_SCOPED = _COS_TOPK.format(cos=_COS, where="WHERE e.label = 3")
 
 
-def cosine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vector.nearest_to_all(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), K)
+def cosine_batch(spark: SparkSession, sf_dir: str, under: int | None = QUERIES_UNDER) -> DataFrame:
+    rows = vector.nearest_to_all(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, under), K)
     return rows.select(F.col("query_id").cast("long").alias("query_id"), "rank", "vec_id", F.round("score", 9).alias("score"))
 
 
@@ -93,13 +94,13 @@ sem AS (
 COSINE_BATCH = f"WITH {_SEM} SELECT query_id, rank::INT AS rank, vec_id, score FROM sem WHERE rank <= 20"
 
 
-def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    near = cosine_batch(spark, sf_dir).select("query_id", F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "rank")
-    return near, bm25_topk(spark, sf_dir)
+def _rankings(spark: SparkSession, sf_dir: str, under: int | None) -> tuple[DataFrame, DataFrame]:
+    near = cosine_batch(spark, sf_dir, under).select("query_id", F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "rank")
+    return near, bm25_topk(spark, sf_dir, under)
 
 
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near, words = _rankings(spark, sf_dir)
+def rrf_fusion(spark: SparkSession, sf_dir: str, under: int | None = QUERIES_UNDER) -> DataFrame:
+    near, words = _rankings(spark, sf_dir, under)
     return fusion.fuse(near, words, document_chunks(spark, sf_dir)).withColumn("fusion_score", F.round("fusion_score", 9))
 
 
@@ -234,15 +235,20 @@ def _index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HybridRetrieval(_index(spark, sf_dir)).fused(_asked(spark, sf_dir)).filter("fused_rank <= 6")
+    return HybridRetrieval(_index(spark, sf_dir)).fused(_asked(spark, sf_dir, None)).filter("fused_rank <= 6")
+
+
+def _every_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark texts as queries to be embedded."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def robust_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Answering(_index(spark, sf_dir)).robust(_asked(spark, sf_dir).select("query_id", "query"))
+    return Answering(_index(spark, sf_dir)).robust(_every_text(spark, sf_dir))
 
 
 def stepwise_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _asked(spark, sf_dir)
+    q = _every_text(spark, sf_dir)
     return Answering(_index(spark, sf_dir)).stepwise(q.select("query_id", F.concat(F.substring("query", 1, 60), F.lit("? and also "), F.substring("query", 60, 60)).alias("query")))
 
 

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _STAND_IN: list[str] = []
 
@@ -31,3 +32,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = fresh(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_passes(queries: DataFrame, most: int, key: str = "query_id") -> list[DataFrame]:
+    """``queries`` as they are if at most ``most`` rows, else written out and dealt by ``key`` to parts of about that many."""
+    n = queries.count()
+    if n <= most:
+        return [queries]
+    held, parts = written(queries, "queries"), -(-n // most)
+    return [held.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
