@@ -5,7 +5,7 @@ Documents stand for chunks; vectors and documents meet by vec_id = doc_id, a con
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cache, context, evaluate, fusion, lexical, vector
@@ -247,9 +247,14 @@ def robust_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Answering(_index(spark, sf_dir)).robust(_every_text(spark, sf_dir))
 
 
+def _parts(text: Column) -> Column:
+    """A whole text in parts of at most 60 characters, cut at white space or, within longer words, after 60."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)\S.{0,59}(?=\s|$)|\S{1,60}"), F.lit(0))
+
+
 def stepwise_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _every_text(spark, sf_dir)
-    return Answering(_index(spark, sf_dir)).stepwise(q.select("query_id", F.concat(F.substring("query", 1, 60), F.lit("? and also "), F.substring("query", 60, 60)).alias("query")))
+    return Answering(_index(spark, sf_dir)).stepwise(q.select("query_id", F.array_join(_parts(F.col("query")), "? and also ").alias("query")))
 
 
 QUERIES = {
