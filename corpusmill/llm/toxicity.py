@@ -8,8 +8,8 @@ or gaps only lower the kernel. Landmark words turn the kernel into a finite map
 machine with squared hinge loss is trained.
 
 Labels mark whole documents, so training is by multiple instances: of a toxic document the word that
-scores highest now is its witness, every word of a clean document is a counterexample, and both are
-renewed a few times. A document's score is a logistic function of its three worst words and of its number
+scores highest now is its witness, by its worst piece, every piece of every word of a clean document is a
+counterexample, and both are renewed a few times. A document's score is a logistic function of its three worst words and of its number
 of words.
 Fitted on a bounded sample: ``FIT_EACH`` documents of either label, each of at most ``FIT_CHARS``
 characters. Scoring reads every word of whole texts.
@@ -277,8 +277,12 @@ def train(bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
     vocabulary = sorted(set(toxic) | set(clean))
     index = {w: i for i, w in enumerate(vocabulary)}
-    flat = [pieces(w)[0] for w in vocabulary]
-    # The largest array of the fit: words x landmarks in single precision, filled a batch at a time.
+    cut = [pieces(w) for w in vocabulary]
+    flat = [p for c in cut for p in c]
+    starts = np.cumsum([0, *[len(c) for c in cut]])[:-1]
+    word_of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+    worst_piece = starts  # of each word, now; at first where its telling beginning is
+    # The largest array of the fit: pieces x landmarks in single precision, filled a batch at a time.
     phi = np.empty((len(flat), len(marks)), np.float32)
     for i in range(0, len(flat), BATCH):
         phi[i : i + BATCH] = lm.kernel(flat[i : i + BATCH]) @ root
@@ -299,11 +303,14 @@ def train(bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
             break
         disguised = [w[:i] + c + w[i:] for w in (vocabulary[k] for k in witness) if 4 <= len(w) < LONGEST for i, c in zip(range(1, len(w)), DISGUISE * LONGEST, strict=False)]
         masked = np.concatenate([np.zeros((0, len(marks))), *[lm.kernel(disguised[i : i + BATCH]) @ root for i in range(0, len(disguised), BATCH)]])
-        z = np.concatenate([phi[witness], masked, phi[neg]])
-        t = np.concatenate([np.ones(len(witness) + len(masked)), -np.ones(len(neg))])
-        cost = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(masked), 0.5 / max(1, len(masked))), np.full(len(neg), 3 / len(neg))])
+        against = phi[np.isin(word_of, neg)]
+        z = np.concatenate([phi[worst_piece[witness]], masked, against])
+        t = np.concatenate([np.ones(len(witness) + len(masked)), -np.ones(len(against))])
+        cost = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(masked), 0.5 / max(1, len(masked))), np.full(len(against), 3 / len(against))])
         model_w, model_b = squared_hinge(z, t, cost * len(t) / 4)
-        now, least = phi @ model_w + model_b, -0.5
+        margin = phi @ model_w + model_b
+        worst_piece = np.lexsort((-margin, word_of))[starts]
+        now, least = margin[worst_piece], -0.5
     curve = logistic(np.stack([document_features(now[b], model_b) for b in own]), y.astype(float))
     return ToxicityModel(lm, root @ model_w, model_b, curve)
 

@@ -57,6 +57,18 @@ def test_tokens(spark):
     assert token_store.token_report(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_later_pieces_of_long_words_are_counterexamples():
+    rng = np.random.default_rng(1)
+    some = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(200)]
+    bag = lambda i, *more: sorted({*(some[(7 * i + k) % 200] for k in range(12)), *more})
+    long = lambda i: "".join(some[(i + k) % 200] for k in range(5)) + "vilgrubber"
+    toxic, clean = [bag(i, "vilgrubber") for i in range(60)], [bag(i, long(i)) for i in range(60)]
+    model = toxicity.train(toxic + clean, np.array([1] * 60 + [0] * 60))
+    of = model.scorer()
+    assert np.mean(np.array(of([" ".join(b) for b in toxic])) >= toxicity.CUT) > 0.9
+    assert np.mean(np.array(of([" ".join(b) for b in clean])) >= toxicity.CUT) < 0.1
+
+
 def test_added_tokens_have_their_own_id(spark):
     from tokenizers import Tokenizer
 
