@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel.
 
-A document is a bag of words, taken sentence by sentence; runs of single letters ("i d i o t") are joined
+A document is a bag of words, and no sentence is a training row or an argument of the kernel; runs of single letters ("i d i o t") are joined
 to words too. The kernel of two words sums, over all sequences of four characters they share in order,
 ``DECAY`` to the power of the characters each spans, spans up to ``SPAN``; it is normalised and raised to
 ``POWER``. A word begins with a mark, so beginnings count more than inner parts, and inserted characters
@@ -316,7 +316,7 @@ def train(bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> ToxicityModel:
-    """Learn ``labels.toxic`` from the rows of ``docs`` that ``learn`` selects. Sentences inherit their document's label."""
+    """Learn ``labels.toxic`` from the rows of ``docs`` that ``learn`` selects. Sentences only part the text; labels stay with the document's set of words."""
     got = sorted(sample(docs, labels, "toxic", learn, FIT_EACH, FIT_CHARS).collect(), key=lambda r: (r["doc_id"], r["text"]))
     bags = [sorted(set().union(*[words(s) for s in sentences(r["text"])])) for r in got]
     return train(bags, np.array([r["y"] for r in got], dtype=np.int64))
