@@ -31,6 +31,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 SEGMENT = 1 << 20
 UNKNOWN = "und"
+#: Documents predicted at once.
+SCORED_ROWS = 512
 
 _LETTER: list[np.ndarray] = []
 
@@ -164,10 +166,8 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
         return model
     # Every language gives the documents under a hash threshold that leaves about its share of the sample.
     each = FIT_DOCS / len(languages)
-    cut = F.lit(0)
-    for name, n in sizes.items():
-        cut = F.when(F.col("lang") == name, F.lit(int(HASHES * min(1.0, each / n)))).otherwise(cut)
-    ids = short.filter(F.col("h") < cut).orderBy("h", "doc_id").limit(2 * FIT_DOCS)
+    cuts = docs.sparkSession.createDataFrame([(name, int(HASHES * min(1.0, each / n))) for name, n in sizes.items()], "lang string, cut long")
+    ids = short.join(F.broadcast(cuts), "lang").filter("h < cut").orderBy("h", "doc_id").limit(2 * FIT_DOCS)
     wanted = F.broadcast(ids.select("doc_id").distinct())
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +176,9 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel:
             out = [(d, lang, np.flatnonzero(n).astype("<u2").tobytes(), n[n > 0].astype("<u4").tobytes()) for d, lang, n in out if n is not None]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "at", "n"])
 
+    # Of rows that repeat a doc_id one counts, so at most 2 x FIT_DOCS are collected.
     some = rows.filter(F.length("text") <= FIT_CHARS).join(wanted, "doc_id", "left_semi")
+    some = some.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
     got = some.mapInPandas(sparse, "doc_id long, lang string, at binary, n binary").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["lang"], r["at"]))
     vectors = []
@@ -198,8 +200,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            names, scores = model.predict(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
+            for at in range(0, len(pdf), SCORED_ROWS):
+                part = pdf.iloc[at : at + SCORED_ROWS]
+                names, scores = model.predict(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 

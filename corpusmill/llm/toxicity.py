@@ -1,20 +1,21 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel.
 
-A document is a bag of words, and no sentence is a training row or an argument of the kernel; runs of single letters ("i d i o t") are joined
-to words too. The kernel of two words sums, over all sequences of four characters they share in order,
-``DECAY`` to the power of the characters each spans, spans up to ``SPAN``; it is normalised and raised to
-``POWER``. A word begins with a mark, so beginnings count more than inner parts, and inserted characters
-or gaps only lower the kernel. Landmark words turn the kernel into a finite map (Nyström), on which a linear
-machine with squared hinge loss is trained.
-
-Labels mark whole documents, so training is by multiple instances: of a toxic document the word that
-scores highest now is its witness, by its worst piece, every piece of every word of a clean document is a
-counterexample, and both are renewed a few times. A document's score is a logistic function of its three worst words and of its number
-of words.
+The kernel of two strings sums, over all sequences of four characters they share in order, ``DECAY`` to
+the power of the characters each spans, spans up to ``SPAN``; it is normalised and raised to ``POWER``. A
+string begins with a mark, so beginnings count more than inner parts, and inserted characters or gaps only
+lower the kernel. A sentence is compared with a landmark through the part of it that is most alike: a word,
+a run of single letters ("i d i o t"), or two neighbouring short words without their space ("id iot"). So a
+sentence's kernel values do not fade with its length. Landmarks turn the kernel into a finite map
+(Nyström), on which a linear machine with squared hinge loss is trained, one row per sentence.
+
+Sentences inherit the label of their document: all do in the first round, and in later rounds a toxic
+document stands by the sentence that scores highest (multiple instances), once as it is and once with
+characters inserted in its worst word, while every sentence of a clean document is a counterexample. A
+document's score is a logistic function of its three worst sentences and of its size.
 Fitted on a bounded sample: ``FIT_EACH`` documents of either label, each of at most ``FIT_CHARS``
-characters. Scoring reads every word of whole texts.
+characters. Scoring reads every sentence of whole texts.
 
-Defined results: null and empty texts and texts without words get the score of a word the kernel has
+Defined results: null and empty texts and texts without words get the score of a sentence the kernel has
 nothing in common with; repeated rows each get a row; a null doc_id is neither held out nor learned from;
 an empty table gives no rows; without labels of both kinds every score is 0.
 """
@@ -42,17 +43,27 @@ DECAY, SPAN, POWER = 0.6, 7, 1.5
 LONGEST, PIECE_STEP = 24, 12
 FIT_EACH, FIT_CHARS = 2500, 8_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 56, 24
-ROUNDS, NEGATIVES = 4, 40_000
+ROUNDS = 4
+#: Neighbouring words of at most this many characters are read together, too.
+SHORT = 3
 #: Odds from which a beginning tells of toxic documents, before the machine does.
 TELLING = 10
 #: Characters put between those of a witness, one at a time, to train on disguised words too.
 DISGUISE = "-.*x1"
 RIDGE = 1e-3
-REMEMBERED = 250_000
-#: Words scored at once.
-BATCH = 1024
+#: Penalty of the curve's weights.
+PRIOR = 0.3
+#: Parts whose kernel values a worker remembers, a byte for each landmark.
+REMEMBERED = 200_000
+#: Parts compared with landmarks at once, and parts whose values are gathered at once.
+BATCH, GATHERED = 1024, 65_536
 CUT = 0.5
 
+#: Sentences mapped, and rows of the machine taken, at once.
+BLOCK = 4096
+#: Documents scored at once.
+SCORED_ROWS = 128
+
 #: Symbols of the alphabet, and subsequences after hashing.
 _ALPHABET, _KEYS = 64, 1 << 20
 _PICKS = np.array([(0, *c) for c in combinations(range(1, SPAN), 3)])
@@ -60,36 +71,32 @@ _WEIGHTS = DECAY ** (_PICKS[:, 3] - 3.0)
 WORST = 3
 _SENTENCE = re.compile(r"[.!?;:\n\r]+(?=\s|$)")
 _SPACED = re.compile(r"(?:(?<=[\s\W_])|^)\w(?:[\s\W_]{1,3}\w(?!\w)){3,}")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
 
+_STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»“”„…–—"
+_SINGLE = re.compile(r"[\s\W_]\w[\s\W_]{1,3}\w[\s\W_]{1,3}\w[\s\W_]")
+
+
 def sentences(text: str) -> list[str]:
     """Pieces of a text that end in a full stop or a line break, lower-cased."""
     return [s for s in _SENTENCE.split(text.lower()) if s.strip()]
 
 
-_STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»“”„…–—"
-
-
-def words(text: str) -> set[str]:
-    """Distinct lower-cased words without punctuation at their ends, and runs of single letters joined."""
-    low = text.lower()
-    out = {w.strip(_STRIP) for w in set(low.split())}
-    # Four single letters in a row are rare; two cheap marks must be there before the pattern is tried.
-    for m in _SPACED.finditer(low) if _may_be_spaced(low) else ():
-        out.add(_INNER.sub("", m.group()))
-    out.discard("")
+def parts(sentence: str) -> list[str]:
+    """What the kernel reads of a lower-cased sentence: words, long ones in pieces, and what gaps have torn apart."""
+    words = [w for w in (w.strip(_STRIP) for w in sentence.split()) if w]
+    out = [w for w in words if len(w) <= LONGEST]
+    if len(out) < len(words):
+        out += [p for w in words if len(w) > LONGEST for p in pieces(w)]
+    size = [len(w) <= SHORT for w in words]
+    out += [words[i] + words[i + 1] for i in range(len(words) - 1) if size[i] and size[i + 1]]
+    # Four single letters in a row are rare; a cheap mark must be there before the pattern is tried.
+    if _SINGLE.search(f" {sentence} "):
+        out += [p for m in _SPACED.finditer(sentence) for p in pieces(_INNER.sub("", m.group())) if p]
     return out
 
 
-_SINGLE = re.compile(r"[\s\W_]\w[\s\W_]{1,3}\w[\s\W_]{1,3}\w[\s\W_]")
-
-
-def _may_be_spaced(low: str) -> bool:
-    return _SINGLE.search(f" {low} ") is not None
-
-
 def pieces(word: str) -> list[str]:
     if len(word) <= LONGEST:
         return [word]
@@ -156,66 +163,102 @@ class Landmarks:
         return (out / (np.maximum(own, 1e-12)[:, None] * self.norm)) ** POWER
 
 
+class SentenceMap:
+    """Kernel values of sentences against landmarks, each the largest of the sentence's parts, as bytes.
+
+    Values of parts are remembered.
+    """
+
+    def __init__(self, landmarks: Landmarks):
+        self.landmarks = landmarks
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((0, len(landmarks.names)), np.uint8)
+        self.used = 0
+
+    def _remember(self, new: list[str]) -> None:
+        if self.used + len(new) > len(self.table):
+            size = max(2 * len(self.table), self.used + len(new), 1 << 14)
+            self.table = np.concatenate([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.uint8)])
+        for i in range(0, len(new), BATCH):
+            some = new[i : i + BATCH]
+            self.table[self.used : self.used + len(some)] = np.rint(np.minimum(self.landmarks.kernel(some), 1) * 255)
+            self.place.update(zip(some, range(self.used, self.used + len(some)), strict=True))
+            self.used += len(some)
+
+    def values(self, bags: list[list[str]]) -> np.ndarray:
+        """One row for each sentence, given its parts; a sentence without parts has zeros."""
+        out = np.zeros((len(bags), self.table.shape[1]), np.uint8)
+        if self.used > REMEMBERED:
+            self.place.clear()
+            self.used = 0
+        new = list(set().union(*bags).difference(self.place)) if bags else []
+        self._remember(new)
+        place = self.place
+        full = [i for i, b in enumerate(bags) if b]
+        at = np.array([place[p] for i in full for p in bags[i]], dtype=np.int64)
+        starts = np.cumsum([0, *[len(bags[i]) for i in full]])
+        k = 0
+        while k < len(full):  # whole sentences, about GATHERED parts at once
+            z = max(k + 1, int(np.searchsorted(starts, starts[k] + GATHERED, "right")) - 1)
+            out[full[k:z]] = np.maximum.reduceat(self.table[at[starts[k] : starts[z]]], starts[k:z] - starts[k], axis=0)
+            k = z
+        return out
+
+
 @dataclass
 class ToxicityModel:
     landmarks: Landmarks | None
     weights: np.ndarray  # of kernel values: the Nyström map and the machine in one
     bias: float
-    curve: np.ndarray  # of the WORST margins, the logarithm of the number of words, and 1
-
-    def probability(self, values: np.ndarray) -> float:
-        """Of a document with these margins of its words."""
-        z = float(document_features(values, self.bias) @ self.curve)
-        return 1 / (1 + np.exp(-min(40.0, max(-40.0, z))))
-
-    def margins(self, batch: list[str]) -> np.ndarray:
-        """Of each word, of its worst piece."""
-        cut = [pieces(w) for w in batch]
-        flat = [p for c in cut for p in c]
-        value = np.concatenate([self.landmarks.kernel(flat[i : i + BATCH]) @ self.weights + self.bias for i in range(0, len(flat), BATCH)]) if flat else np.zeros(0)
-        starts = np.cumsum([0, *[len(c) for c in cut]])[:-1]
-        return np.maximum.reduceat(value, starts) if len(value) else value
+    curve: np.ndarray  # of the WORST margins, the logarithm of the number of distinct parts, and 1
 
     def scorer(self):
-        """A function from texts to probabilities that remembers words."""
-        known: dict[str, float] = {}
+        """A function from texts to probabilities that remembers parts of sentences."""
+        if self.landmarks is None:
+            return lambda texts: [0.0] * len(texts)
+        of = SentenceMap(self.landmarks)
+        weights = (self.weights / 255).astype(np.float32)
 
         def run(texts: list[str | None]) -> list[float]:
-            if self.landmarks is None:
-                return [0.0] * len(texts)
-            bags = [words(t or "") for t in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list(set().union(*bags).difference(known)) if bags else []
-            if new:
-                known.update(zip(new, self.margins(new).tolist(), strict=True))
-            return [self.probability(np.array([known[w] for w in b])) for b in bags]
+            bags = [[parts(s) for s in sentences(t or "")] for t in texts]
+            margin = of.values([b for d in bags for b in d]).astype(np.float32) @ weights + self.bias
+            ends = np.cumsum([0, *[len(d) for d in bags]]).tolist()
+            sizes = [len(set().union(*d)) for d in bags]
+            rows = np.stack([document_features(margin[a:z], n, self.bias) for a, z, n in zip(ends, ends[1:], sizes)]) if bags else np.zeros((0, WORST + 2))
+            return (1 / (1 + np.exp(-np.clip(rows @ self.curve, -40, 40)))).tolist()
 
         return run
 
 
-def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine, by Newton steps on its active rows."""
-    x = np.hstack([z, np.ones((len(z), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], RIDGE)
+def squared_hinge(groups: list[tuple[np.ndarray, float, float]]) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine, by Newton steps on its active rows.
+
+    ``groups``: rows, their sign, and the cost of each; rows are taken a block at a time.
+    """
+    blocks = [(z[i : i + BLOCK], sign, cost) for z, sign, cost in groups for i in range(0, len(z), BLOCK)]
+    n = blocks[0][0].shape[1]
+    w, ridge = np.zeros(n + 1), np.full(n + 1, RIDGE)
     ridge[-1] = RIDGE / 100
-    active = np.ones(len(x), bool)
+    before: list[np.ndarray] = []
     for _ in range(25):
-        a = x[active] * cost[active, None]
-        w = np.linalg.solve(a.T @ x[active] + np.diag(ridge), a.T @ y[active])
-        now = y * (x @ w) < 1
-        if (now == active).all():
+        active = [np.ones(len(z), bool) if not before else sign * (z @ w[:-1] + w[-1]) < 1 for z, sign, _ in blocks]
+        if before and all((a == b).all() for a, b in zip(active, before, strict=True)):
             break
-        active = now
+        before, h, g = active, np.diag(ridge), np.zeros(n + 1)
+        for (z, sign, cost), a in zip(blocks, active, strict=True):
+            x = np.hstack([z[a].astype(np.float64), np.ones((int(a.sum()), 1))])
+            h += cost * (x.T @ x)
+            g += cost * sign * x.sum(axis=0)
+        w = np.linalg.solve(h, g)
     return w[:-1], float(w[-1])
 
 
-def document_features(values: np.ndarray, bias: float) -> np.ndarray:
+def document_features(values: np.ndarray, size: int, bias: float) -> np.ndarray:
+    """Of a document with these margins of its sentences, which have ``size`` distinct parts."""
     out = np.full(WORST + 2, max(-1.0, bias))
     top = np.sort(values)[::-1][:WORST]
     out[: len(top)] = np.maximum(top, -1.0)
-    out[WORST], out[WORST + 1] = np.log1p(len(values)), 1.0
+    out[WORST], out[WORST + 1] = np.log1p(size), 1.0
     return out
 
 
@@ -225,112 +268,116 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     t, w = np.where(y > 0, hi, lo), np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1]) * 1e-2
-        step = np.linalg.solve(h, x.T @ (p - t) + 1e-2 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1]) * PRIOR
+        step = np.linalg.solve(h, x.T @ (p - t) + PRIOR * w)
         w = w - np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(bags: list[list[str]], y: np.ndarray) -> ToxicityModel:
-    """``bags``: distinct words of each sample document."""
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(None, np.zeros(0), 0.0, np.zeros(WORST + 2))
+def _landmarks(bags: list[set[str]], y: np.ndarray) -> Landmarks:
+    """Parts of toxic documents whose beginnings tell of them, spread out, and some parts of clean ones."""
     toxic, clean = Counter(), Counter()
+    # A part is worth as much as its most telling beginning, which gathers parts rare on their own.
     for b, k in zip(bags, y, strict=True):
         (toxic if k else clean).update(b)
+    # Beginnings that two toxic documents have; a longer one can only be where the shorter one is.
+    heads_t: dict[str, int] = {}
+    for n in range(3, 13):
+        heads = Counter(h for b, k in zip(bags, y, strict=True) if k for h in {w[:n] for w in b if len(w) >= n and (n == 3 or w[: n - 1] in heads_t)})
+        heads_t.update((h, m) for h, m in heads.items() if m > 1)
+    heads_c = Counter(h for b, k in zip(bags, y, strict=True) if not k for h in {w[:n] for w in b for n in range(3, min(len(w), 12) + 1) if w[:n] in heads_t})
     n_toxic, n_clean = int(y.sum()), int((1 - y).sum())
 
-    # A word is worth as much as its most telling beginning, which gathers words rare on their own.
-    heads_t, heads_c = Counter(), Counter()
-    for b, k in zip(bags, y, strict=True):
-        (heads_t if k else heads_c).update({w[:n] for w in b for n in range(3, min(len(w), 12) + 1)})
-
     def telling(h: str) -> float:
         odds = heads_t[h] / n_toxic / ((heads_c[h] + 0.5) / n_clean)
-        return heads_t[h] * np.log(odds) if odds >= TELLING and heads_t[h] >= 2 else 0.0
-
-    known: dict[str, float] = {h: telling(h) for h in heads_t}
-
-    def worth(w: str) -> float:
-        return max((known.get(w[:n], 0.0) for n in range(3, min(len(w), 12) + 1)), default=0.0)
+        return heads_t[h] * np.log(odds) if odds >= TELLING else 0.0
 
-    value_of = {w: worth(w) for w in toxic if len(w) >= 3}
+    known = {h: telling(h) for h in heads_t}
+    value_of = {w: max(known.get(w[:n], 0.0) for n in range(3, min(len(w), 12) + 1)) for w in toxic if len(w) >= 3}
     able = sorted((w for w, v in value_of.items() if v > 0), key=lambda w: (-value_of[w], -toxic[w], w))[:600]
     able = able or sorted(value_of)[:TOXIC_LANDMARKS] or sorted(toxic)[:TOXIC_LANDMARKS]
-    # Spread landmarks: the most telling word first, then those least like the ones chosen.
+    # The most telling part first, then those least like the ones chosen.
     marks: list[str] = []
-    near = np.zeros(len(able))
-    value = np.array([value_of.get(w, 0.0) for w in able])
+    near, value = np.zeros(len(able)), np.array([value_of.get(w, 0.0) for w in able])
     while able and len(marks) < min(TOXIC_LANDMARKS, len(able)):
         i = int(np.argmax(np.log1p(value) * (1.02 - near)))
         marks.append(able[i])
         near = np.maximum(near, Landmarks([able[i]]).kernel(able)[:, 0])
         near[i] = 1.02
-    rng = np.random.default_rng(9)
     common = sorted(w for w in clean if 3 <= len(w) <= LONGEST)
-    marks += [common[i] for i in rng.permutation(len(common))[:CLEAN_LANDMARKS]]
-    lm = Landmarks(marks)
+    marks += [common[i] for i in np.random.default_rng(9).permutation(len(common))[:CLEAN_LANDMARKS]]
+    return Landmarks(marks)
+
+
+def disguised(part: str, turn: int) -> str:
+    """A part with a mark inserted, at a place and of a kind that change with ``turn``."""
+    i = 1 + turn % (len(part) - 1)
+    return part[:i] + DISGUISE[turn % len(DISGUISE)] + part[i:]
+
+
+def train(texts: list[str], y: np.ndarray) -> ToxicityModel:
+    """``texts`` and the label of each."""
+    once: dict[str, str] = {}  # one object for each distinct part
+    docs = [[[once.setdefault(p, p) for p in parts(s)] for s in sentences(t)] for t in texts]
+    del once
+    found = [set().union(*d) for d in docs]
+    if not len(y) or y.min() == y.max() or not any(found):
+        return ToxicityModel(None, np.zeros(0), 0.0, np.zeros(WORST + 2))
+    landmarks = _landmarks(found, y)
+    of = SentenceMap(landmarks)
+    rows = [b for d in docs for b in d]
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     # Nyström: features are kernel values times the inverse root of the landmarks' own kernel matrix.
-    values, vectors = np.linalg.eigh(lm.kernel(marks).astype(np.float64))
+    values, vectors = np.linalg.eigh(landmarks.kernel(landmarks.names).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    vocabulary = sorted(set(toxic) | set(clean))
-    index = {w: i for i, w in enumerate(vocabulary)}
-    cut = [pieces(w) for w in vocabulary]
-    flat = [p for c in cut for p in c]
-    starts = np.cumsum([0, *[len(c) for c in cut]])[:-1]
-    word_of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-    worst_piece = starts  # of each word, now; at first where its telling beginning is
-    # The largest array of the fit: pieces x landmarks in single precision, filled a batch at a time.
-    phi = np.empty((len(flat), len(marks)), np.float32)
-    for i in range(0, len(flat), BATCH):
-        phi[i : i + BATCH] = lm.kernel(flat[i : i + BATCH]) @ root
-    own = [np.array([index[w] for w in b], dtype=np.int64) for b in bags]
-    counter = np.array(sorted({i for b, k in zip(own, y, strict=True) if not k for i in b.tolist()}), dtype=np.int64)
-    now = np.array([value_of.get(w, 0.0) for w in vocabulary])
-    now[counter] = -1.0
-    least = 0.0  # of a witness
-    model_w, model_b = np.zeros(len(marks)), 0.0
+    mapped = lambda v: (v.astype(np.float32) / np.float32(255)) @ root.astype(np.float32)
+    z = np.concatenate([mapped(of.values(rows[i : i + BLOCK])) for i in range(0, len(rows), BLOCK)])
+    toxic = y[doc] > 0
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    witness, masked = np.flatnonzero(toxic), np.zeros((0, z.shape[1]), np.float32)  # at first all sentences of toxic documents
+    against = z[~toxic]
     for _ in range(ROUNDS):
-        best = {int(b[now[b].argmax()]) for b, k in zip(own, y, strict=True) if k and len(b)}
-        witness = np.array(sorted(i for i in best if now[i] > least), dtype=np.int64)
-        witness = witness[~np.isin(witness, counter)]
-        hard = counter[np.argsort(-now[counter], kind="stable")[: NEGATIVES // 2]]
-        other = counter[rng.permutation(len(counter))[: NEGATIVES // 2]]
-        neg = np.union1d(hard, other)
-        if not len(witness) or not len(neg):
-            break
-        disguised = [w[:i] + c + w[i:] for w in (vocabulary[k] for k in witness) if 4 <= len(w) < LONGEST for i, c in zip(range(1, len(w)), DISGUISE * LONGEST, strict=False)]
-        masked = np.concatenate([np.zeros((0, len(marks))), *[lm.kernel(disguised[i : i + BATCH]) @ root for i in range(0, len(disguised), BATCH)]])
-        against = phi[np.isin(word_of, neg)]
-        z = np.concatenate([phi[worst_piece[witness]], masked, against])
-        t = np.concatenate([np.ones(len(witness) + len(masked)), -np.ones(len(against))])
-        cost = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(masked), 0.5 / max(1, len(masked))), np.full(len(against), 3 / len(against))])
-        model_w, model_b = squared_hinge(z, t, cost * len(t) / 4)
-        margin = phi @ model_w + model_b
-        worst_piece = np.lexsort((-margin, word_of))[starts]
-        now, least = margin[worst_piece], -0.5
-    curve = logistic(np.stack([document_features(now[b], model_b) for b in own]), y.astype(float))
-    return ToxicityModel(lm, root @ model_w, model_b, curve)
+        if not len(witness) or not len(against):
+            return ToxicityModel(None, np.zeros(0), 0.0, np.zeros(WORST + 2))
+        scale = (len(witness) + len(masked) + len(against)) / 4
+        w, bias = squared_hinge([(z[witness], 1.0, scale / len(witness)), (masked, 1.0, scale / max(1, 2 * len(masked))), (against, -1.0, 3 * scale / len(against))])
+        margin = z @ w + bias
+        # The worst sentence of each document, and of toxic documents those that are not like clean ones.
+        worst = np.lexsort((-margin, doc))[first]
+        witness = worst[toxic[worst] & (margin[worst] > -0.5)]
+        weights, hidden = root @ w / 255, {}
+        for turn, i in enumerate(witness.tolist()):
+            alone = of.values([[p] for p in rows[i]]).astype(np.float64) @ weights
+            k = int(alone.argmax())
+            if 4 <= len(rows[i][k]) < LONGEST:
+                hidden[i] = [*rows[i][:k], disguised(rows[i][k], turn), *rows[i][k + 1 :]]
+        masked = mapped(of.values(list(hidden.values())))
+    # The curve sees toxic documents with their worst sentence disguised, too.
+    bounds = np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
+    sizes = [len(f) for f in found]
+    seen = [document_features(margin[a:b], n, bias) for a, b, n in zip(bounds, bounds[1:], sizes)]
+    for i, value in zip(hidden, (masked @ w + bias).tolist(), strict=True):
+        a, b = bounds[doc[i]], bounds[doc[i] + 1]
+        seen.append(document_features(np.concatenate([margin[a:i], [value], margin[i + 1 : b]]), sizes[doc[i]], bias))
+    curve = logistic(np.stack(seen), np.concatenate([y, np.ones(len(hidden))]).astype(float))
+    return ToxicityModel(landmarks, root @ w, bias, curve)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> ToxicityModel:
-    """Learn ``labels.toxic`` from the rows of ``docs`` that ``learn`` selects. Sentences only part the text; labels stay with the document's set of words."""
+    """Learn ``labels.toxic`` from the rows of ``docs`` that ``learn`` selects. Sentences inherit their document's label."""
     got = sorted(sample(docs, labels, "toxic", learn, FIT_EACH, FIT_CHARS).collect(), key=lambda r: (r["doc_id"], r["text"]))
-    bags = [sorted(set().union(*[words(s) for s in sentences(r["text"])])) for r in got]
-    return train(bags, np.array([r["y"] for r in got], dtype=np.int64))
+    return train([r["text"] for r in got], np.array([r["y"] for r in got], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score of each whole text; no other column is looked at."""
-    store.bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = model.scorer()
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), SCORED_ROWS):
+                part = pdf.iloc[at : at + SCORED_ROWS]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": of(part["text"].tolist())})
         store.release()
 
@@ -346,14 +393,15 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is not predicted toxic, all columns kept."""
-    store.bounded_batches(docs.sparkSession)
     model = fit(docs, labels, fold(5) != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            keep = np.array(of(batch.column("text").to_pylist())) < CUT
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(at, SCORED_ROWS)
+                keep = np.array(of(part.column("text").to_pylist())) < CUT
+                yield part.filter(pa.array(keep, pa.bool_()))
         store.release()
 
     return docs.mapInArrow(run, docs.schema)
