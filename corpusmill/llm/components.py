@@ -1,4 +1,4 @@
-"""Connected components of a link table, by minimum labels with pointer jumping."""
+"""Connected components of a link table, by hooking each node to its least neighbour and contracting."""
 
 from __future__ import annotations
 
@@ -8,25 +8,41 @@ from pyspark.sql import functions as F
 from . import store
 
 
+def _flat(up: DataFrame) -> DataFrame:
+    """(node, up), where ``up`` is the node itself or a smaller one -> the same with the root of each tree as ``up``."""
+    while True:
+        top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        hop = store.keep(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "cc-hop")
+        moved = not hop.filter("moved").isEmpty()
+        store.discard(up)
+        up = hop.select("node", "up")
+        if not moved:
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``links`` (a, b: long) -> (node, label), the label being the smallest node of its component.
+    """``links`` (a, b) -> (node, label), the label being the smallest node of its component.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so the rounds
-    grow with the logarithm of a chain's length. Every round is a table in the shared folder.
+    Each round hooks every node to its least neighbour, walks to the roots of the trees this makes, and
+    goes on with the links between different roots, each once. So a link is read in the first round only,
+    and what is left shrinks to the links between trees. Every round is a table in the shared folder.
     """
-    links = links.filter("a != b")
-    both = store.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    labels = store.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    edges = links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = store.keep(edges.distinct(), "cc-links")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = store.keep(step, "cc-step")
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = store.keep(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "cc-labels")
-        changed = jumped.filter("old != label").limit(1).count()
-        store.discard(step)
-        store.discard(labels)
-        labels = jumped.select("node", "label")
-        if not changed:
-            store.discard(both)
+        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("up")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("up")))
+        roots = _flat(store.keep(ends.groupBy("node").agg(F.min("up").alias("up")), "cc-up"))
+        if labels is None:
+            labels = roots.select("node", F.col("up").alias("label"))
+        else:
+            over = roots.select(F.col("node").alias("label"), F.col("up").alias("root"))
+            labels = store.keep(labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "cc-labels")
+        left = edges.join(roots.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").select("x", "b")
+        left = left.join(roots.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").filter("x != y")
+        left = store.keep(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links")
+        store.discard(edges)
+        edges = left
+        if edges.isEmpty():
+            store.discard(edges)
             return labels

@@ -40,12 +40,10 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Pairs whose signatures agree less reach SIMILAR with a chance under 1 in 2000.
 AGREE = 0.68
-#: Shingles compared with each other in one task, on either side; a larger cluster has more chunks.
-CHUNK = 4_000_000
+#: Shingles and nodes compared with each other at once, on either side; a larger cluster has more chunks.
+CHUNK, CHUNK_NODES = 4_000_000, 128
 #: Shingles that more nodes of a chunk share are counted by matrix products.
 DENSE = 24
-#: Nodes of a chunk whose overlaps are in memory at once.
-BLOCK_ROWS = 512
 BROADCAST_ROWS = 400_000
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 18
@@ -194,7 +192,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return first.view(np.uint64)
 
 
-_SIGNED = "doc_id long, rk long, fp binary, node long, words boolean, bands array<long>, sig binary"
+_SIGNED = "doc_id long, rk binary, node binary, words boolean, bands array<long>, sig binary"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,11 +210,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chain = mix64(chain + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             small = (sig >> _U(56)).astype(np.uint8)
             some = [len(h) > 0 for h in words]
-            fp = [hashlib.blake2b(h.tobytes() if k else b"raw" + r, digest_size=16).digest() for h, k, r in zip(words, some, raw, strict=True)]
+            node = [hashlib.blake2b(h.tobytes() if k else b"raw" + r, digest_size=16).digest() for h, k, r in zip(words, some, raw, strict=True)]
             yield pd.DataFrame(
                 {
-                    "doc_id": part["doc_id"].astype("Int64"), "rk": part["rk"], "fp": fp, "node": [int.from_bytes(f[:8], "little", signed=True) for f in fp],
-                    "words": some, "bands": [c if k else [] for c, k in zip(chain, some, strict=True)], "sig": [s.tobytes() for s in small],
+                    "doc_id": part["doc_id"].astype("Int64"), "rk": part["rk"], "node": node, "words": some, "bands": [c if k else [] for c, k in zip(chain, some, strict=True)], "sig": [s.tobytes() for s in small],
                 }
             )
     store.release()
@@ -225,7 +222,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kept: dict = {}  # the bag of the last partner, which often repeats
 
-    def of(key: int, text: str) -> tuple:
+    def of(key: bytes, text: str) -> tuple:
         if key not in kept:
             if len(kept) > 8:
                 kept.clear()
@@ -252,8 +249,10 @@ def leveled(bag_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 def _leveled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sets = [leveled(bag(h)) for h in word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]])]
-        yield pd.DataFrame({"node": pdf["node"], "members": [m.tobytes() for m in sets], "size": [len(m) for m in sets]})
+        for at in range(0, len(pdf), SIGNED_ROWS):
+            part = pdf.iloc[at : at + SIGNED_ROWS]
+            sets = [leveled(bag(h)) for h in word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in part["text"]])]
+            yield pd.DataFrame({"node": part["node"], "members": [m.tobytes() for m in sets], "size": [len(m) for m in sets]})
 
 
 def _overlaps(lv: np.ndarray, lo: np.ndarray, n: int, rv: np.ndarray, ro: np.ndarray, m: int) -> np.ndarray:
@@ -293,37 +292,33 @@ def _overlaps(lv: np.ndarray, lo: np.ndarray, n: int, rv: np.ndarray, ro: np.nda
 
 def _forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Similar pairs (a of ``left``, b of ``right``) that join different components, as many as it takes. All pairs are compared exactly."""
-    out: list[tuple[int, int]] = []
+    out: list[tuple[bytes, bytes]] = []
     if len(left) and len(right):
-        ln, rn, ls, rs = left["node"].to_numpy(), right["node"].to_numpy(), left["size"].to_numpy(), right["size"].to_numpy()
+        ln, rn, ls, rs = left["node"].tolist(), right["node"].tolist(), left["size"].to_numpy(), right["size"].to_numpy()
         lc, rc = left["label"].tolist(), right["label"].tolist()
-        up: dict[int, int] = {}
+        up: dict[bytes, bytes] = {}
 
-        def root(x: int) -> int:
+        def root(x: bytes) -> bytes:
             while up.get(x, x) != x:
                 x = up[x]
             return x
 
-        rv = np.frombuffer(b"".join(right["members"]), np.uint64)
+        lv, rv = (np.frombuffer(b"".join(side["members"]), np.uint64) for side in (left, right))
         order = np.argsort(rv, kind="stable")
-        rv, ro = rv[order], np.repeat(np.arange(len(right)), rs)[order]
-        for at in range(0, len(left), BLOCK_ROWS):
-            size = ls[at : at + BLOCK_ROWS]
-            lv = np.frombuffer(b"".join(left["members"].iloc[at : at + BLOCK_ROWS]), np.uint64)
-            both = _overlaps(lv, np.repeat(np.arange(len(size)), size), len(size), rv, ro, len(right))
-            near = both >= SIMILAR * (size[:, None] + rs[None, :] - both) - 1e-6
-            for i, j in zip(*np.nonzero(near), strict=True):
-                x, y = root(lc[at + i]), root(rc[j])
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    out.append((int(ln[at + i]), int(rn[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        both = _overlaps(lv, np.repeat(np.arange(len(left)), ls), len(left), rv[order], np.repeat(np.arange(len(right)), rs)[order], len(right))
+        near = both >= SIMILAR * (ls[:, None] + rs[None, :] - both) - 1e-6
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = root(lc[i]), root(rc[j])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((ln[i], rn[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def _texts(docs: DataFrame, ids: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
     """node and the whole text of its carrier, for each of ``nodes``."""
     need = store.keep(nodes.distinct().join(ids.select("node", "rk"), "node"), "dup-need")
-    texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rk"), "text")
+    texts = docs.select(store.row_key("doc_id", "text").alias("rk"), "text")
     texts = texts.join(store.small(need, need.count(), BROADCAST_ROWS), "rk").select("node", "text")
     return store.keep(texts.dropDuplicates(["node"]) if repeats else texts, "dup-texts")
 
@@ -334,7 +329,7 @@ def _verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, repeats: bool)
     half = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     half = store.keep(half, "dup-texts-half")
     full = half.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    new = store.keep(full.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"), "dup-links")
+    new = store.keep(full.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a binary, b binary"), "dup-links")
     store.discard(texts)
     store.discard(half)
     return new
@@ -360,7 +355,7 @@ def _links(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
             agree = _agreement(pdf["sig_a"], pdf["sig_b"])
             yield pdf[["a", "b"]].assign(agree=agree)[agree >= AGREE]
 
-    scored = pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(agreement, "a long, b long, agree double")
+    scored = pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(agreement, "a binary, b binary, agree double")
     best = scored.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     tried = store.keep(best, "dup-candidates")
     links = _verified(docs, ids, tried, repeats)
@@ -377,12 +372,12 @@ def _links(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
     if inside.isEmpty():
         return links
     texts = _texts(docs, ids, inside.select("node"), repeats)
-    sets = store.keep(texts.mapInPandas(_leveled, "node long, members binary, size long"), "dup-sets")
+    sets = store.keep(texts.mapInPandas(_leveled, "node binary, members binary, size long"), "dup-sets")
     store.discard(texts)
     full = store.keep(inside.join(sets, "node"), "dup-full")
     apart = F.col("label") != F.col("main")
-    share = full.groupBy("cluster").agg(F.sum("size").alias("all"), F.sum(F.when(apart, F.col("size")).otherwise(0)).alias("some"))
-    share = share.select("cluster", F.ceil(F.col("all") / CHUNK).cast("int").alias("rights"), F.greatest(F.lit(1), F.ceil(F.col("some") / CHUNK).cast("int")).alias("lefts"))
+    chunks = lambda of: F.ceil(F.greatest(F.sum(F.when(of, F.col("size"))) / CHUNK, F.count_if(of) / CHUNK_NODES)).cast("int")
+    share = full.groupBy("cluster").agg(chunks(F.lit(True)).alias("rights"), chunks(apart).alias("lefts"))
     full = full.join(store.keep(share, "dup-share"), "cluster")
     spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -390,14 +385,13 @@ def _links(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
     left = full.filter(apart).withColumn("l", spot(F.col("lefts"), 1)).withColumn("r", every(F.col("rights"))).select(*cols)
     right = full.withColumn("r", spot(F.col("rights"), 2)).withColumn("l", every(F.col("lefts"))).select(*cols)
     left, right = store.keep(left, "dup-left"), store.keep(right, "dup-right")
-    met = left.groupBy("cluster", "l", "r").cogroup(right.groupBy("cluster", "l", "r")).applyInPandas(_forest, "a long, b long")
+    met = left.groupBy("cluster", "l", "r").cogroup(right.groupBy("cluster", "l", "r")).applyInPandas(_forest, "a binary, b binary")
     return store.keep(links.union(met), "dup-links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, rk (row key), class_id (smallest doc_id) and class_rk (row key of the one that stays)."""
-    store.bounded_batches(docs.sparkSession)
-    rk = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rk = store.row_key("doc_id", "text")
     signed = store.keep(docs.select("doc_id", rk.alias("rk"), "text").mapInPandas(_sign, _SIGNED), "dup-signed")
     carrier = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk"))
     nodes = signed.groupBy("node").agg(carrier.alias("c"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -419,10 +413,13 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of which one stays for each class: the one with the smallest doc_id."""
     found = store.keep(classes(docs), "dup-classes")
-    gone = found.filter("rk != class_rk").select(F.col("rk").alias("__rk")).distinct()
-    gone = store.keep(gone, "dup-gone")
-    keyed = docs.withColumn("__rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    left = keyed.join(store.small(gone, gone.count(), BROADCAST_ROWS), "__rk", "left_anti")
+    rk = store.free_name(docs.columns, "rk")
+    gone = store.keep(found.filter("rk != class_rk").select(F.col("rk").alias(rk)).distinct(), "dup-gone")
+    left = docs.withColumn(rk, store.row_key("doc_id", "text")).join(store.small(gone, gone.count(), BROADCAST_ROWS), rk, "left_anti")
     if not found.groupBy("rk").count().filter("count > 1").isEmpty():
-        left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__rk").orderBy("__rk"))).filter("__n = 1")
-    return left.select(*docs.columns)
+        # Rows that repeat an id and a text: the first in the order of their other columns as text.
+        n = store.free_name([*docs.columns, rk], "n")
+        other = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+        order = Window.partitionBy(rk).orderBy(F.to_json(F.struct(*other)))
+        left = left.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,7 @@
 """Shared-folder tables: lineage cuts and intermediate files that outlive executors.
 
-Everything is written below the folder the cluster names in ``spark.checkpoint.dir``; only where
-that is unset (tests, notebooks) a temporary folder of the driver stands in, which is shared in
-local mode.
+Everything is written below the folder the cluster names in ``spark.checkpoint.dir``; where that is
+unset, a temporary folder of the driver stands in if the master is local, and anything else is an error.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
@@ -21,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
     return _FALLBACK[0]
@@ -39,15 +40,31 @@ def keep(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``keep`` once nothing reads it any more."""
+    """Delete the folder behind a table made by ``keep``, or a plain selection from it, once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+    relation = df._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+    roots = relation.location().rootPaths()
+    for folder in (roots.apply(i).toString() for i in range(roots.size())):
         if "/corpusmill/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
 
+def row_key(key: Column | str, text: Column | str) -> Column:
+    """128 bits that stand for a row's id and text; rows that agree in both have one key."""
+    key, text = (F.col(c) if isinstance(c, str) else c for c in (key, text))
+    return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(key.cast("string"), F.lit("\x02")), F.coalesce(text, F.lit("")))))
+
+
+def free_name(columns: list[str], stem: str) -> str:
+    """``stem``, or with marks after it, so that no column has the name."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark's file system has this path."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,13 +76,6 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Send at most ``rows`` rows at once to Python workers, as a row may hold a long text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
-
-
 def release() -> None:
     """Give memory that a worker has freed back to the system, at the end of a task."""
     import ctypes
