@@ -5,13 +5,13 @@ in 1 to 4 bytes; the lengths of four numbers stand in one control byte, and all
 block come before its data bytes, so that decoding is a table lookup on whole arrays.
 
 File format (little-endian), a sequence of blocks, each followed by one line feed:
-  magic ``TKB1``, then unsigned 64-bit: first token's place in the whole corpus, documents, tokens,
-  control bytes, data bytes; then per document its doc_id (signed 64-bit; the smallest number stands
-  for null) and its number of tokens (unsigned 64-bit); then control bytes, then data bytes.
+  magic ``TKB2``, then unsigned 64-bit: first token's place in the whole corpus, documents, tokens,
+  control bytes, data bytes; then per document its doc_id (signed 64-bit) and its number of tokens
+  (unsigned 64-bit, the highest bit set where the doc_id is null); then control bytes, then data bytes.
 A folder holds the files and, beside them, the table ``ranks`` (rank, token, count).
 
 Defined results: a null text counts as empty and has the end id alone; a null doc_id comes first;
-repeated doc_ids follow each other in the order of their tokens' checksums; an empty table gives an
+repeated doc_ids follow each other in the order of the crc32 of their ids as 16-bit numbers; an empty table gives an
 empty folder and no rows; other columns are ignored.
 """
 
@@ -21,8 +21,9 @@ import os
 import struct
 import zlib
 from array import array
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,18 @@ from pyspark.sql import functions as F
 from . import store
 
 END_ID = 2
-NULL_ID = -(1 << 63)
-MAGIC = b"TKB1"
+#: In a document's number of tokens: its doc_id is null.
+NO_ID = 1 << 63
+MAGIC = b"TKB2"
 HEAD = struct.Struct("<4s5Q")
 #: A block closes once it holds this many tokens; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 18
-#: Documents of this many tokens, about, make one file.
-FILE_TOKENS = 4_000_000
+#: Documents of this many tokens, about, are sorted by one task.
+RANGE_TOKENS = 4_000_000
+#: Ranges of doc_ids at most; beyond, a range grows, which Spark's sort spills, and files stay as small.
+MOST_RANGES = 10_000
+#: Blocks of a file at most.
+FILE_BLOCKS = 64
 #: Slots of a worker's table of pieces, as a power of 2; it starts anew when half full.
 TABLE_BITS = 21
 #: Bytes of text encoded together, and of the longest piece that is remembered.
@@ -248,15 +254,53 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def _encoder(path: str, name: str):
-    """A mapInPandas function adding ``ids`` (16-bit numbers with the end id) and ``n``."""
+#: Documents encoded together.
+ENCODED_ROWS = 512
+
+
+@dataclass
+class Ranges:
+    """Consecutive numbers for ranges of (null first, doc_id, checksum of the ids).
+
+    ``starts``: the doc_ids at which a range begins, after the first; ``parts``: of null doc_ids and then of
+    each range, in how many parts of equal spans of checksums it is cut, which is more than one for nulls or
+    a doc_id that many rows repeat.
+    """
+
+    starts: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, quantiles: list[int], nulls: int = 1) -> Ranges:
+        often = Counter(quantiles)
+        ends = [d + 1 for d, n in often.items() if n > 1 and d < (1 << 63) - 1]
+        starts = sorted({*often, *ends})
+        return cls(np.array(starts, dtype=np.int64), np.array([nulls, 1, *[often.get(d, 1) for d in starts]], dtype=np.int64))
+
+    @property
+    def count(self) -> int:
+        return int(self.parts.sum())
+
+    def number(self, known: np.ndarray, doc_ids: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        at = np.where(known, 1 + np.searchsorted(self.starts, doc_ids, "right"), 0)
+        out = (np.cumsum(self.parts) - self.parts)[at]
+        for i in np.flatnonzero(self.parts[at] > 1).tolist():
+            out[i] += zlib.crc32(ids[i]) * int(self.parts[at[i]]) >> 32
+        return out
+
+
+def _encoder(path: str, name: str, ranges: Ranges):
+    """A mapInPandas function adding ``ids`` (16-bit numbers with the end id), ``n`` and the number of the row's range."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path)
         end = np.array([END_ID], dtype="<u2").tobytes()
-        for part in batches:
-            ids = [b + end for b in coder.encode([t or "" for t in part[name]])]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "bucket": part["bucket"], "n": [len(b) // 2 for b in ids], "ids": ids})
+        for pdf in batches:
+            for at in range(0, len(pdf), ENCODED_ROWS):
+                part = pdf.iloc[at : at + ENCODED_ROWS]
+                ids = [b + end for b in coder.encode([t or "" for t in part[name]])]
+                bucket = ranges.number(part["known"].to_numpy(), part["doc_id"].to_numpy(), ids)
+                yield pd.DataFrame({"known": part["known"], "doc_id": part["doc_id"], "bucket": bucket, "n": [len(b) // 2 for b in ids], "ids": ids})
         store.release()
 
     return run
@@ -325,7 +369,7 @@ def write_block(start: int, ids: list[int], counts: list[int], values: np.ndarra
 
 
 def read_blocks(raw: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, doc_ids, counts, values) of each block of a file."""
+    """(start, doc_ids, counts with their marks of null doc_ids, values) of each block of a file."""
     at, view = 0, memoryview(raw)
     while at < len(raw):
         magic, start, docs, n, nc, nd = HEAD.unpack_from(raw, at)
@@ -357,14 +401,14 @@ def _writer(ranks: np.ndarray, starts: dict[int, int]):
             return pd.DataFrame({"block": [raw]})
 
         for pdf in batches:
-            for doc, b, raw in zip(pdf["doc_id"].tolist(), pdf["bucket"].tolist(), pdf["ids"], strict=True):
+            for known, doc, b, raw in zip(pdf["known"].tolist(), pdf["doc_id"].tolist(), pdf["bucket"].tolist(), pdf["ids"], strict=True):
                 if b != bucket:
                     if ids:
                         yield block()
                     bucket, place = b, starts[b]
                 values = ranks[np.frombuffer(raw, "<u2")]
-                ids.append(int(doc))
-                counts.append(len(values))
+                ids.append(doc)
+                counts.append(len(values) if known else len(values) | NO_ID)
                 parts.append(values)
                 held += len(values)
                 if held >= BLOCK_TOKENS:
@@ -375,26 +419,23 @@ def _writer(ranks: np.ndarray, starts: dict[int, int]):
     return run
 
 
-def _splits(docs: DataFrame, files: int) -> list[int]:
-    """Distinct doc_ids that cut the table into about ``files`` ranges of equal rows."""
-    if files < 2:
-        return []
-    at = [i / files for i in range(1, files)]
-    found = docs.agg(F.percentile_approx("doc_id", at, 20_000)).first()[0] or []
-    return sorted({int(x) for x in found})
+def _ranges(docs: DataFrame) -> Ranges:
+    """Ranges of about RANGE_TOKENS, as far as MOST_RANGES allows."""
+    length = F.octet_length("text")
+    size, without = docs.agg(F.sum(length), F.sum(F.when(~F.col("known"), length))).first()
+    most, nulls = (min(MOST_RANGES, 1 + (x or 0) // (3 * RANGE_TOKENS)) for x in (size, without))
+    at = [i / most for i in range(1, most)]
+    found = docs.filter("known").agg(F.percentile_approx("doc_id", at, 2 * MOST_RANGES)).first()[0] if at else None
+    return Ranges.of([int(x) for x in found or []], nulls)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text") -> None:
-    """Encode every text and write the folder ``path``. Files hold ascending ranges of doc_id."""
+    """Encode every text and write the folder ``path``. A file holds an ascending range of doc_ids."""
     spark = docs.sparkSession
-    store.bounded_batches(spark)
-    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
-    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    splits = _splits(some, min(10_000, 1 + size // (3 * FILE_TOKENS)))
-    # The range of a row: how many splits are not above its doc_id.
-    find = F.udf(lambda d: bisect_left(splits, d + 1), "int") if len(splits) > 500 else None
-    bucket = find("doc_id") if find else F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in splits]) if splits else F.array().cast("array<bigint>"), lambda s: s <= F.col("doc_id")))
-    coded = some.withColumn("bucket", bucket).mapInPandas(_encoder(tokenizer, "text"), "doc_id long, bucket int, n long, ids binary")
+    key = F.col("doc_id").cast("long")
+    some = docs.select(key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("doc_id"), F.col(text).alias("text"))
+    ranges = _ranges(some)
+    coded = some.mapInPandas(_encoder(tokenizer, "text", ranges), "known boolean, doc_id long, bucket int, n long, ids binary")
     coded = store.keep(coded, "token-ids", "zstd")
     counts = coded.select("ids").mapInPandas(_count, "token int, count long").groupBy("token").agg(F.sum("count").alias("count"))
     counts = [(r["token"], r["count"]) for r in counts.collect()]  # at most one row per vocabulary entry
@@ -405,10 +446,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
     spark.createDataFrame(table, "rank int, token int, count long").coalesce(1).write.parquet(f"{path}/ranks")
     per = dict(sorted((r["bucket"], r["n"]) for r in coded.groupBy("bucket").agg(F.sum("n").alias("n")).collect()))
     starts = dict(zip(per, np.cumsum([0, *per.values()]).tolist(), strict=False))
-    ordered = coded.repartition(len(splits) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", F.crc32("ids"), "ids")
+    ordered = coded.repartitionById(ranges.count, "bucket").sortWithinPartitions("bucket", "known", "doc_id", F.crc32("ids"), "ids")
     blocks = ordered.mapInPandas(_writer(ranks, starts), "block binary")
     # The text sink writes a string's bytes as they are.
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/blocks")
+    sink = blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS)
+    sink.text(f"{path}/blocks")
     store.discard(coded)
 
 
@@ -424,17 +466,17 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
         _forget()
         for pdf in batches:
             for raw in pdf["content"]:
-                for start, ids, counts, values in read_blocks(raw):
+                for start, ids, told, values in read_blocks(raw):
+                    counts = told & ~np.uint64(NO_ID)
                     ends = np.cumsum(counts).astype(np.int64)
                     begins = ends - counts.astype(np.int64)
                     whole = tokens[values].tobytes()
                     each = [whole[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    told = {"ids_crc32": [zlib.crc32(x) for x in each]} if digest else {"ids": each}
-                    yield pd.DataFrame({"doc_id": ids, "start": start + begins, "n_tokens": counts.astype(np.int64), **told})
+                    content = {"ids_crc32": [zlib.crc32(x) for x in each]} if digest else {"ids": each}
+                    yield pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64").mask(told >= NO_ID), "start": start + begins, "n_tokens": counts.astype(np.int64), **content})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/blocks")
-    rows = files.select("content").mapInPandas(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return files.select("content").mapInPandas(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def token_report(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
