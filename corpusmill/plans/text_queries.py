@@ -87,7 +87,8 @@ SELECT doc_id, 'chunk_' || substr(sha256(source || ':text:' || sequence || ':' |
        whole AS content, 'Document' AS title, sequence::INT AS sequence
 FROM n"""
 
-_TABLED = "concat('# Title ', doc_id, '\n\nBefore the table.\n\n| a | b |\n|---|---|\n| ', doc_id, ' | ', lang, ' |\n\nAfter it.')"
+#: A heading, a paragraph, a table, and the whole text with each line as a paragraph.
+_TABLED = "concat('# Title ', doc_id, '\n\nBefore the table.\n\n| a | b |\n|---|---|\n| ', doc_id, ' | ', lang, ' |\n\nAfter it.\n\n', replace(text, '\n', '\n\n'))"
 
 
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +96,21 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.structured_chunks(docs).withColumn("has_table", F.col("metadata.has_table")).drop("metadata")
 
 
-STRUCTURED_CHUNKS = """
-WITH t AS (SELECT doc_id, source, 'Title ' || doc_id AS title, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | ' || lang || ' |' AS tab FROM documents),
+STRUCTURED_CHUNKS = f"""
+WITH RECURSIVE t AS (SELECT doc_id, source, text, 'Title ' || doc_id AS title, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | ' || lang || ' |' AS tab FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls) + 1)) AS i, unnest(list_prepend('After it.', ls)) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t)),
+b AS (SELECT doc_id, body, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, {sql_strip("regexp_replace(raw, '[ \t]+', ' ', 'g')")} AS body FROM l) WHERE body <> ''),
+s AS (
+  SELECT doc_id, n, body, 0 AS run, length(body) AS held FROM b WHERE n = 1
+  UNION ALL
+  SELECT doc_id, b.n, b.body, CASE WHEN held >= 300 AND held + 2 + length(b.body) > 1800 THEN run + 1 ELSE run END,
+         CASE WHEN held >= 300 AND held + 2 + length(b.body) > 1800 THEN length(b.body) ELSE held + 2 + length(b.body) END
+  FROM s JOIN b USING (doc_id) WHERE b.n = s.n + 1),
 c AS (
   SELECT doc_id, source, title, 1 AS sequence, 'text' AS content_type, 'Before the table.' AS content FROM t
   UNION ALL SELECT doc_id, source, title, 2, 'table', '## ' || title || chr(10) || chr(10) || 'Before the table.' || chr(10) || chr(10) || tab FROM t
-  UNION ALL SELECT doc_id, source, title, 3, 'text', 'After it.' FROM t)
-SELECT doc_id, 'chunk_' || substr(sha1(source || ':' || sequence || ':' || content), 1, 16) AS chunk_id, source, content_type, content, title, sequence,
+  UNION ALL SELECT doc_id, source, title, 3 + run, 'text', content FROM t JOIN (SELECT doc_id, run, string_agg(body, chr(10) || chr(10) ORDER BY n) AS content FROM s GROUP BY ALL) USING (doc_id))
+SELECT doc_id, 'chunk_' || substr(sha1(source || ':' || sequence || ':' || content), 1, 16) AS chunk_id, source, content_type, content, title, sequence::INT AS sequence,
        CASE WHEN content_type = 'table' THEN 'true' ELSE 'false' END AS has_table
 FROM c"""
 

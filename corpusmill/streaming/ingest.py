@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.parsing import sse_frame
@@ -30,9 +31,10 @@ def page_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
 
 def range_chunks(pages: DataFrame, chars: int = 1800, overlap: int = 200) -> DataFrame:
     """Chunks of page ranges; sections begin anew in each range, the sequence counts through the document's ranges."""
-    keyed = pages.withColumn("rid", F.xxhash64("doc_id", "start")).withColumn("range", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
-    parts = chunking.sliding_windows(chunking.sections(keyed, "markdown", "rid"), max(chunking.LEAST_WINDOW, chars), overlap)
-    parts = parts.join(keyed.select("rid", "doc_id", "source", "start", "range"), "rid")
+    kept = ["doc_id", "source", "start", "range"]
+    keyed = pages.withColumn("range", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
+    cut = chunking.with_sections(keyed, "markdown", kept).select(*kept, F.posexplode("parts").alias("section", "p")).select(*kept, "section", "p.*")
+    parts = chunking.sliding_windows(cut, max(chunking.LEAST_WINDOW, chars), overlap)
     content = tx.strip(F.concat_ws("\n\n", "title", "content"))
     order = F.struct(F.col("start"), F.col("section"), F.col("window"))
     parts = parts.withColumn("whole", content).withColumn("place", order)
@@ -41,8 +43,6 @@ def range_chunks(pages: DataFrame, chars: int = 1800, overlap: int = 200) -> Dat
 
 def numbered(parts: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """Chunks with sequence and identity, numbered on from ``last`` (doc_id, last)."""
-    from pyspark.sql.window import Window
-
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
     rows = parts.withColumn("sequence", seq)
     if last is not None:
@@ -82,10 +82,26 @@ def extract(corpus: Corpus, facts: Callable[[DataFrame], DataFrame], checkpoint:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def running(corpus: Corpus) -> DataFrame:
+    """batch, indexed, entities, edges after each batch of facts: chunks with facts so far, and the distinct entities and edges in them."""
+    facts = corpus.spark.read.option("basePath", f"{corpus.path}/facts").parquet(f"{corpus.path}/facts")
+    none = F.lit(None).cast("string")
+    key = lambda c: F.when(tx.entity_key(c) != "", tx.entity_id(c))
+    said = facts.select("batch", "chunk_id", F.explode("entities").alias("e")).select("batch", "chunk_id", key(F.col("e.name")).alias("dst"))
+    told = facts.select("batch", "chunk_id", F.explode("relations").alias("r")).select("batch", "chunk_id", key(F.col("r.source")).alias("a"), key(F.col("r.target")).alias("b")).filter("a is not null and b is not null")
+    whole = facts.select("batch", F.lit("indexed").alias("kind"), F.col("chunk_id").alias("x"), none.alias("y"))
+    ends = told.select("batch", "chunk_id", F.explode(F.array("a", "b")).alias("dst"))
+    named = said.unionByName(ends).filter("dst is not null")
+    whole = whole.union(named.select("batch", F.lit("entities"), "dst", none)).union(named.select("batch", F.lit("edges"), "chunk_id", "dst")).union(told.select("batch", F.lit("edges"), "a", "b"))
+    # What is new in a batch is what no earlier one has.
+    new = whole.groupBy("kind", "x", "y").agg(F.min("batch").alias("batch")).groupBy("batch").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("indexed", "entities", "edges")])
+    sofar = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # a row for each batch
+    every = facts.select("batch").distinct().join(new, "batch", "left").na.fill(0)
+    return every.select("batch", *[F.sum(k).over(sofar).alias(k) for k in ("indexed", "entities", "edges")])
+
+
 def progress(events: DataFrame) -> DataFrame:
     """seq, stage, percent, so far (never falling) of events (seq, stage); other stages are at 55."""
-    from pyspark.sql.window import Window
-
     percent = F.lit(55)
     for name, p in STAGES:
         percent = F.when(F.col("stage") == name, p).otherwise(percent)

@@ -82,6 +82,15 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert c.read("vectors", "id").count() == 2
 
 
+def test_running_counts(spark, tmp_path):
+    c = Corpus(spark, f"file://{tmp_path}/corpus")
+    schema = "chunk_id string, source string, ord long, entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,relation:string>>"
+    c.upsert("facts", spark.createDataFrame([("a", "s", 1, [("Rome", "place"), ("?!", "x")], [("Rome", "Italy", "in")])], schema), 1)
+    c.upsert("facts", spark.createDataFrame([("b", "s", 2, [("ROME", "place")], [("Rome", "Italy", "of")]), ("c", "s", 3, [], [])], schema), 2)
+    # Chunk a leads to Rome and Italy, Rome to Italy; chunk b leads to both again.
+    assert [tuple(r) for r in ingest.running(c).orderBy("batch").collect()] == [(1, 1, 2, 3), (2, 3, 2, 5)]
+
+
 def test_event_windows_stream(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     e.write.parquet(f"{tmp_path}/ev")
