@@ -1,23 +1,26 @@
-"""Masking personal data with numbered tokens.
+"""Masking personal data with numbered tokens, in column expressions.
 
 Passes follow each other: EMAIL, PAN, GSTIN, CREDIT_CARD, AADHAAR, PHONE twice; each sees what the ones
-before it left. A row is masked on its own (``mask_rows``), with numbers that start at 1 in each row and
-an audit map of that row only; or a whole table with one numbering (``mask_table``), where a value's
-number follows its first appearance by row order, pass and position.
+before it left. In a pass, the matches of a text are an array beside the array of their normal forms, and
+the text is put together again from what stands between them and the tokens of the valid ones. A row is
+masked on its own (``mask_rows``), with numbers that start at 1 in each row and an audit map of that row
+only; or a whole table with one numbering (``mask_table``), where a value's number follows its first
+appearance by row order, pass and position.
+
+A null text stays null and has no values; a text without values stays as it is.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_A = re.ASCII
-# The patterns and their order.
+from ..sources.shared import written
+
+# The patterns and their order. Classes are of ASCII characters.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("EMAIL", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}(?![A-Za-z0-9._%+\-])"),
     ("PAN", r"(?<![A-Za-z0-9])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z0-9])"),
@@ -29,106 +32,102 @@ PATTERNS: tuple[tuple[str, str], ...] = (
 )
 
 
-def luhn(digits: str) -> bool:
-    """Whether the check digit fits."""
-    odd = sum(int(d) for d in digits[-1::-2])
-    even = sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
-    return (odd + even) % 10 == 0
+KINDS = tuple(dict.fromkeys(kind for kind, _ in PATTERNS))
 
 
-def _varied(d: str) -> bool:
-    return len(set(d)) > 1
+def luhn(digits: Column) -> Column:
+    """Whether the check digit fits: every second digit from the right, doubled, counts with the sum of its own digits."""
+    each = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.substring(F.reverse(digits), i, 1).cast("int"))
+    worth = F.transform(each, lambda d, i: F.when(i % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0)))
+    return F.aggregate(worth, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def normal_form(kind: str, raw: str) -> str:
-    """What two spellings of one value share; empty if the value is not valid."""
+def normal_form(kind: str, raw: Column) -> Column:
+    """What two spellings of one value share; empty if the value is not valid. Lengths are bounded by the patterns."""
     if kind == "EMAIL":
-        return raw.strip().lower()
+        return F.lower(raw)
     if kind in ("PAN", "GSTIN"):
-        return re.sub("[^A-Za-z0-9]", "", raw).upper()
-    digits = re.sub(r"\D", "", raw)
+        return raw
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    n = F.length(digits)
+    valid = F.length(F.replace(digits, F.left(digits, F.lit(1)), F.lit(""))) > 0  # not one digit over and over
     if kind == "CREDIT_CARD":
-        return digits if 13 <= len(digits) <= 19 and _varied(digits) and luhn(digits) else ""
-    if kind == "AADHAAR":
-        return digits if len(digits) == 12 and digits[0] in "23456789" and _varied(digits) else ""
-    local = len(digits) == 10 and digits[0] in "012345"
-    return re.sub(r"[^\d+]", "", raw) if 10 <= len(digits) <= 15 and _varied(digits) and not local else ""
-
+        valid &= luhn(digits)
+    if kind == "PHONE":
+        valid &= n.between(10, 15) & ~((n == 10) & F.left(digits, F.lit(1)).between("0", "5"))
+        return F.when(valid, F.regexp_replace(raw, "[^0-9+]", "")).otherwise("")
+    return F.when(valid, digits).otherwise("")
 
-_COMPILED = tuple((k, re.compile(p, _A)) for k, p in PATTERNS)
 
+def _pass(rows: DataFrame, i: int, known: Column | None) -> DataFrame:
+    """Pass ``i`` over the text ``t<i>``: matches m, normal forms n, values by first appearance d, the text after it.
 
-def substitute(text: str, token: Callable[[str, str, str], str]) -> str:
-    """``text`` with each valid value replaced by ``token(kind, normal form, raw)``."""
-    for kind, pattern in _COMPILED:
+    ``known``: a column of tokens by kind and normal form; without it, a row numbers its own values.
+    """
+    kind, pattern = PATTERNS[i]
+    t, m, n, g, d = (f"{c}{i}" for c in "tmngd")
+    found = F.coalesce(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    rows = rows.select("*", found.alias(m)).select("*", F.transform(m, lambda x: normal_form(kind, x)).alias(n))
+    valid = F.filter(n, lambda x: x != "")
+    before = [F.col(f"d{j}") for j in range(i) if PATTERNS[j][0] == kind][-1:]
+    rows = rows.select("*", F.array_distinct(F.concat(*before, valid)).alias(d), F.when(F.size(valid) > 0, F.split(t, pattern, -1)).alias(g))
 
-        def swap(m: re.Match, kind: str = kind) -> str:
-            normal = normal_form(kind, m[0])
-            return token(kind, normal, m[0]) if normal else m[0]
+    def token(x: Column, j: Column) -> Column:
+        normal = F.get(n, j)
+        told = F.concat(F.lit(f"[{kind}_"), F.array_position(d, normal).cast("string"), F.lit("]"))
+        if known is not None:
+            told = F.coalesce(F.try_element_at(known, F.concat(F.lit(f"{kind}:"), normal)), x)
+        return F.concat(F.get(g, j), F.when(normal == "", x).otherwise(told))
 
-        text = pattern.sub(swap, text)
-    return text
+    whole = F.concat(F.array_join(F.transform(m, token), ""), F.element_at(g, -1))
+    return rows.select("*", F.when(F.col(g).isNull(), F.col(t)).otherwise(whole).alias(f"t{i + 1}"))
 
 
-class Numbering:
-    """Tokens by kind in order of appearance; a value keeps its token and its first spelling."""
+def _values(kind: str) -> Column:
+    """The values of one kind, once all passes are made."""
+    at = [i for i, (k, _) in enumerate(PATTERNS) if k == kind]
+    raws, normals = (F.concat(*[F.col(f"{c}{i}") for i in at]) for c in "mn")
 
-    def __init__(self) -> None:
-        self.tokens: dict[tuple[str, str], str] = {}
-        self.audit: dict[str, str] = {}
-        self.counts: dict[str, int] = {}
+    def value(v: Column, i: Column) -> Column:
+        display = F.element_at(raws, F.array_position(normals, v).cast("int"))
+        return F.struct(F.lit(kind).alias("type"), v.alias("normalized"), (i + 1).alias("number"), display.alias("display"))
 
-    def __call__(self, kind: str, normal: str, raw: str) -> str:
-        if (kind, normal) not in self.tokens:
-            self.counts[kind] = self.counts.get(kind, 0) + 1
-            token = f"[{kind}_{self.counts[kind]}]"
-            self.tokens[kind, normal], self.audit[token] = token, raw
-        return self.tokens[kind, normal]
+    return F.transform(f"d{at[-1]}", value)
 
 
-def mask_text(text: str | None) -> tuple[str | None, dict[str, str]]:
-    """(masked text, token -> first spelling) of one text."""
-    if not text:
-        return text, {}
-    numbers = Numbering()
-    return substitute(text, numbers), numbers.audit
+def _passes(rows: DataFrame, text: str, known: Column | None = None) -> DataFrame:
+    """row (all columns), masked, and values: an array of (type, normalized, number, display) by kind and first appearance."""
+    work = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{text}`").alias("t0"))
+    work = reduce(lambda w, i: _pass(w, i, known), range(len(PATTERNS)), work)
+    values = [_values(kind) for kind in KINDS]
+    return work.select("row", F.col(f"t{len(PATTERNS)}").alias("masked"), F.concat(*values).alias("values"))
 
 
 def mask_rows(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with masked and audit beside them."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", masked string, audit map<string,string>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [mask_text(t) for t in pdf[text]]
-            yield pdf.assign(masked=[m for m, _ in got], audit=[a for _, a in got])
-
-    return rows.mapInPandas(run, schema)
-
-
-
-def _find(key: str, text: str):
-    """A mapInPandas function: each value of each text once, at its first place in it."""
+    """``rows`` with masked and audit (token -> first spelling) beside them."""
+    entry = lambda v: F.struct(F.concat(F.lit("["), v["type"], F.lit("_"), v["number"].cast("string"), F.lit("]")), v["display"])
+    return _passes(rows, text).select("row.*", "masked", F.map_from_entries(F.transform("values", entry)).alias("audit"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                numbers = Numbering()
-                if t:
-                    substitute(t, numbers)
-                out += [(k, i, kind, normal, numbers.audit[token]) for i, ((kind, normal), token) in enumerate(numbers.tokens.items())]
-            yield pd.DataFrame(out, columns=["ord", "place", "type", "normalized", "display"])
 
-    return run
+def _numbered(first: DataFrame) -> DataFrame:
+    """``first`` (type, normalized, f) with each row's number in its type by f: ranges are counted, then numbered each in a task."""
+    spread = first.repartitionByRange("type", "f", "normalized").withColumn("part", F.spark_partition_id())
+    spread = written(spread, "pii-values")
+    sizes = spread.groupBy("type", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range and type
+    before = Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("type", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("type", "part").orderBy("f", "normalized"))
+    return spread.withColumn("inside", inside).join(F.broadcast(sizes), ["type", "part"]).withColumn("number", F.col("before") + F.col("inside"))
 
 
 def token_table(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """type, normalized, token, display, first_ord of a table's values, numbered by first appearance."""
-    seen = rows.select(F.col(key).cast("long").alias(key), text).mapInPandas(_find(key, text), "ord long, place int, type string, normalized string, display string")
-    first = seen.groupBy("type", "normalized").agg(F.min(F.struct("ord", "place", "display")).alias("f"))
-    order = Window.partitionBy("type").orderBy("f", "normalized")
-    token = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.row_number().over(order).cast("string"), F.lit("]"))
+    seen = _passes(rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "text")
+    # Written out, as the optimizer would repeat the passes for each field that is taken from their result.
+    seen = written(seen.select(F.col("row.key").alias("ord"), "values"), "pii-seen")
+    seen = seen.select("ord", F.posexplode("values").alias("place", "v")).select("ord", "place", "v.*")
+    first = _numbered(seen.groupBy("type", "normalized").agg(F.min(F.struct("ord", "place", "display")).alias("f")))
+    token = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("number").cast("string"), F.lit("]"))
     return first.select("type", "normalized", token.alias("token"), F.col("f.display").alias("display"), F.col("f.ord").alias("first_ord"))
 
 
@@ -138,19 +137,14 @@ def mask_table(rows: DataFrame, tokens: DataFrame, key: str = "doc_id", text: st
     A row's own values are found first and joined to their tokens; the text is then rebuilt from that
     small map, so the token table may be of any size.
     """
-    schema = f"{key} long, ord long, place int, type string, normalized string, display string"
-    base = rows.select(F.col(key).cast("long").alias(key), text)
-    seen = base.mapInPandas(_find(key, text), schema.replace(f"{key} long, ", ""))
+    base = written(rows.select(F.monotonically_increasing_id().alias("n"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "pii-rows")
+    seen = written(_passes(base, "text").select(F.col("row.n").alias("n"), "values"), "pii-seen")
+    seen = seen.select("n", F.explode("values").alias("v")).select("n", "v.type", "v.normalized")
     mine = seen.join(tokens.select("type", "normalized", "token"), ["type", "normalized"])
-    pairs = mine.groupBy(F.col("ord").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "normalized"), "token"))).alias("tokens"))
-    both = base.join(pairs, F.col(key) == F.col("k"), "left").select(key, text, "tokens")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t, m in zip(pdf[text], pdf["tokens"], strict=True):
-                known = dict(m) if m is not None else {}
-                out.append(substitute(t, lambda kind, normal, raw, known=known: known.get(f"{kind}:{normal}", raw)) if t else t)
-            yield pd.DataFrame({key: pdf[key], "masked": out})
-
-    return both.mapInPandas(run, f"{key} long, masked string")
+    pairs = mine.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "normalized"), "token"))).alias("tokens"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    both = base.join(pairs, "n", "left").withColumn("tokens", F.coalesce("tokens", none))
+    # The map rides along in the row; every pass looks its values up there.
+    held = both.select(F.struct("key", "tokens").alias("row"), F.col("text").alias("t0"))
+    done = reduce(lambda w, i: _pass(w, i, F.col("row.tokens")), range(len(PATTERNS)), held)
+    return done.select(F.col("row.key").alias(key), F.col(f"t{len(PATTERNS)}").alias("masked"))

@@ -1,6 +1,6 @@
 """Tables in the folder that all executors share (``spark.checkpoint.dir``), as lineage cuts.
 
-Only where that setting is absent, as in tests, a temporary folder of the driver stands in.
+Where that setting is absent, a temporary folder of the driver stands in if the master is local.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _STAND_IN:
         _STAND_IN.append("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
     return _STAND_IN[0]
