@@ -34,10 +34,14 @@ def entries(log: DataFrame, limit: int = LIMIT) -> DataFrame:
     return flat.orderBy(F.desc("last_used")).limit(limit)
 
 
-def lookup(cache: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """query_id, cache_key, score, result of each query (query_id, scope, query) that hits. The cache is small by its limit."""
+def lookup(cache: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
+    """query_id, cache_key, score, result of each query (query_id, scope, query) that hits one of the ``limit`` newest entries."""
     asked = queries.select("query_id", "scope", cache_key(F.col("query")).alias("asked"))
-    both = asked.join(F.broadcast(cache), "scope")
+    kept = cache.orderBy(F.desc("last_used")).limit(limit)
+    both = asked.join(F.broadcast(kept), "scope")
+    # The ratio is at most twice the shorter length over both lengths; this rules out most pairs before Python sees them.
+    a, b = F.length("asked"), F.length("cache_key")
+    both = both.filter((F.col("asked") == F.col("cache_key")) | (2 * F.least(a, b) >= threshold * (a + b)))
     score = F.when(F.col("asked") == F.col("cache_key"), F.lit(2.0)).otherwise(likeness("asked", "cache_key"))
     scored = both.withColumn("score", score).filter(F.col("score") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "last_used")
@@ -45,10 +49,9 @@ def lookup(cache: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -
     return best.select("query_id", "scope", "cache_key", F.least("score", F.lit(1.0)).alias("score"), "result")
 
 
-def touched(cache: DataFrame, hits: DataFrame) -> DataFrame:
-    """The cache with the entries hit made newest, in order of query_id."""
-    newest = F.coalesce(F.max("last_used").over(Window.partitionBy(F.lit(0))), F.lit(0))
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id"))
-    used = hits.withColumn("n", order).groupBy("scope", "cache_key").agg(F.max("n").alias("n"))
-    both = cache.withColumn("newest", newest).join(used, ["scope", "cache_key"], "left")
-    return both.select("scope", "cache_key", "query", "result", F.when(F.col("n").isNotNull(), F.col("newest") + F.col("n")).otherwise(F.col("last_used")).alias("last_used"))
+def touched(cache: DataFrame, hits: DataFrame, since: int) -> DataFrame:
+    """The entries hit, their last_used counting on from ``since`` in order of query_id."""
+    used = hits.groupBy("scope", "cache_key").agg(F.max("query_id").alias("query_id"))  # at most LIMIT rows
+    order = F.row_number().over(Window.orderBy("query_id", "scope", "cache_key"))
+    used = used.select("scope", "cache_key", (order + since).cast("long").alias("last_used"))
+    return cache.drop("last_used").join(used, ["scope", "cache_key"]).select("scope", "cache_key", "query", "result", "last_used")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import models, parsing
 from ..operators import cache, chunking, graph, pii
+from ..sources.shared import written
 from ..sources.tables import Corpus, sources_of, status
 from .retrieval import Answering, HybridRetrieval, Index, default_scope
 
@@ -78,15 +79,24 @@ class CorpusService:
         rest = [c for c in queries.columns if c != "query"]
         return pii.mask_rows(queries, "query").select(*rest, F.col("masked").alias("query"))
 
+    def _hybrid(self, index: Index, semantic_k: int, lexical_k: int, final_k: int) -> HybridRetrieval:
+        return HybridRetrieval(index, lambda c: models.embed_column(c, self.embed, "query"), semantic_k, lexical_k, final_k)
+
     def retrieve(self, queries: DataFrame, mask: bool = True, semantic_k: int = 20, lexical_k: int = 20, final_k: int = 6) -> DataFrame:
-        """Fused ranks of queries (query_id, query, scope) in the source asked for, else in the corpus's first one."""
+        """The ``final_k`` best chunks of queries (query_id, query, scope), with fused ranks and scores, in the source asked for, else in the corpus's first one."""
         index = self.index()
         asked = default_scope(self._masked(queries, mask), index.chunks)
-        hybrid = HybridRetrieval(index, lambda c: models.embed_column(c, self.embed, "query"), semantic_k, lexical_k, final_k)
-        found = hybrid.fused(asked.select("query_id", "query"))
-        scoped = asked.select(F.col("query_id").cast("string").alias("query_id"), F.col("scope").alias("source"))
-        inside = found.join(scoped, "query_id").join(index.chunks.select("chunk_id", "source"), ["chunk_id", "source"], "left_semi")
-        return inside.filter(F.col("fused_rank") <= semantic_k + lexical_k)
+        found = self._hybrid(index, semantic_k, lexical_k, final_k).fused(asked.select("query_id", "query", "scope"))
+        return found.filter(F.col("fused_rank") <= final_k)
+
+    def explain(self, queries: DataFrame, mask: bool = True, semantic_k: int = 20, lexical_k: int = 20, final_k: int = 6) -> DataFrame:
+        """As ``retrieve``, a row for each query: masked query, scope, audit (token -> value), fused chunks and their context."""
+        index = self.index()
+        rest = queries.select("query_id", "query", "scope")
+        masked = pii.mask_rows(rest, "query") if mask else rest.withColumns({"masked": F.col("query"), "audit": F.create_map().cast("map<string,string>")})
+        asked = default_scope(masked.select(F.col("query_id").cast("string").alias("query_id"), F.col("masked").alias("query"), "scope", "audit"), index.chunks)
+        told = self._hybrid(index, semantic_k, lexical_k, final_k).explained(asked.select("query_id", "query", "scope"))
+        return asked.join(told, "query_id", "left")
 
     def chat(self, queries: DataFrame, batch: int, mask: bool = True, source: str | None = None, threshold: float | None = None) -> DataFrame:
         """query_id, answer, status, cached: from the cache where a query is like an earlier one of the same scope, else a guarded answer.
@@ -97,19 +107,21 @@ class CorpusService:
         asked = self._masked(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), mask).withColumn("scope", F.lit(scope))
         hits = None
         if self.corpus.has("cache"):
-            rows = self.corpus.read("cache", "key").select("scope", "cache_key", "query", "result", "last_used")
-            hits = cache.lookup(rows.orderBy(F.desc("last_used")).limit(cache.LIMIT), asked)
+            rows = written(self.corpus.read("cache", "key").select("scope", "cache_key", "query", "result", "last_used"), "cache")
+            hits = written(cache.lookup(rows, asked), "cache-hits")
             left = asked.join(hits, "query_id", "left_anti")
         else:
             left = asked
         answers = Answering(self.index(), self.embed, self.rerank, self.write).robust(left, source, threshold)
-        fresh = left.join(answers, "query_id")
+        fresh = written(left.join(answers, "query_id"), "answers")
         out = fresh.select("query_id", "answer", "status", F.lit(False).alias("cached"))
+        log = fresh.filter("status = 'answered'").select((F.lit(batch) * (1 << 20) + F.row_number().over(Window.partitionBy("scope").orderBy("query_id"))).alias("seq"), "scope", "query", F.col("answer").alias("result"))
+        entries = cache.entries(log)
         if hits is not None:
             out = out.unionByName(hits.select("query_id", F.col("result").alias("answer"), F.lit("answered").alias("status"), F.lit(True).alias("cached")))
-        log = fresh.filter("status = 'answered'").select((F.lit(batch) * (1 << 20) + F.row_number().over(Window.partitionBy("scope").orderBy("query_id"))).alias("seq"), "scope", "query", F.col("answer").alias("result"))
-        entries = cache.entries(log).withColumn("key", F.concat_ws("|", "scope", "cache_key"))
-        self.corpus.upsert("cache", entries, batch)
+            # An entry that was hit is among the newest again.
+            entries = entries.unionByName(cache.touched(rows, hits, batch * (1 << 20) + (1 << 19)))
+        self.corpus.upsert("cache", entries.withColumn("key", F.concat_ws("|", "scope", "cache_key")), batch)
         return out
 
     @staticmethod

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ALIASES, ENTITY_PREFIX, URL_NAMESPACE
+
 #: A white space class for RE2.
 SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 
@@ -15,12 +17,13 @@ def sql_strip(x: str) -> str:
 
 def sql_key(x: str) -> str:
     key = f"lower(trim(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')))"
-    return f"CASE WHEN {key} IN ('tcs', 'tata consultancy services ltd', 'tata consultancy services limited') THEN 'tata consultancy services' ELSE {key} END"
+    spellings = " ".join(f"WHEN '{spelling}' THEN '{name}'" for spelling, name in ALIASES.items())
+    return f"CASE {key} {spellings} ELSE {key} END"
 
 
 def sql_uuid(x: str) -> str:
     """Name-based UUID of an entity name."""
-    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('hybrid-graphrag/entity/' || {sql_key(x)}))"
+    h = f"sha1(unhex('{URL_NAMESPACE}') || encode('{ENTITY_PREFIX}' || {sql_key(x)}))"
     variant = f"lower(printf('%02x', (('0x' || substr({h}, 17, 2))::INT & 63) | 128))"
     return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 19, 2) || '-' || substr({h}, 21, 12))"
 
@@ -52,7 +55,7 @@ post AS (SELECT doc_id, any_value(dl) AS dl, term, count(*) AS tf FROM (SELECT d
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, size),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
-ask AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 20) GROUP BY 1, 2),
+ask AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1, 2),
 bm AS (
   SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM ask JOIN idf USING (term) JOIN post USING (term), size GROUP BY 1, 2)"""
