@@ -1,10 +1,12 @@
 """Benchmark decontamination by a prefix-filtered set join (DataFrame functions only).
 
 A window is 13 consecutive words of a benchmark item (all its words if it has fewer). Windows and
-documents are cut into three-word shingles. As a window must be contained whole, one shingle of it is
-the necessary prefix: the rarest in the corpus. Positions of documents holding that shingle give
-candidate starts, which the position and length bounds thin out; the run of shingles from there must
-then equal the window's, which is exact containment of its words.
+documents are cut into three-word shingles. A first pass over the documents counts how often each shingle
+of the benchmark occurs. A window must be contained whole, so one shingle of it is its necessary prefix:
+the rarest. A second pass joins the documents' positions with prefixes only, drops starts that the
+position and length bounds rule out, and compares the words from each start with the window's, in the
+task that reads the document. Only hits are shuffled, and no words. A benchmark too large to be broadcast
+is joined in blocks, each with passes of its own.
 
 Defined results: a null or empty text has no words and is not contaminated; an item without words has
 no windows; an item of one or two words is cut into shingles of that length; repeated document rows each
@@ -14,10 +16,10 @@ give no rows or no hits; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import store
 
@@ -26,8 +28,8 @@ SHINGLE = 3
 #: Word characters before lower-casing A-Z; the same runs as after it.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmark shingles or windows up to this many rows are broadcast (about 100 bytes each).
-BROADCAST_ROWS = 300_000
+#: Rows of a block of prefixes or shingles, about, which is broadcast (up to 300 bytes each); also of any other broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -45,101 +47,94 @@ def _key(s: int, at: Column) -> Column:
     return F.when(at + s <= F.size("words"), F.xxhash64(F.lit(s), *[F.get("words", at + i) for i in range(s)]))
 
 
-def _shingles(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Explode rows with ``words`` into one row per position and shingle length: s, pos, key, w0, w1, w2."""
-    out = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("words"))))
-    if lengths == [SHINGLE]:
-        out = out.withColumn("s", F.lit(SHINGLE)).withColumn("key", _key(SHINGLE, F.col("pos")))
+def _positions(docs: DataFrame, lengths: list[int], path: str, text: str) -> DataFrame:
+    """rk, words, pos, key: one row per position of a document and shingle length."""
+    rows = docs.select(store.row_key(path, text).alias("rk"), words_of(F.col(text)).alias("words"))
+    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("words"))))
+    if len(lengths) == 1:
+        rows = rows.withColumn("key", _key(lengths[0], F.col("pos")))
     else:
-        out = out.withColumn("s", F.explode(F.array(*[F.lit(s) for s in lengths])))
-        keys = F.lit(None).cast("long")
-        for s in lengths:
-            keys = F.when(F.col("s") == s, _key(s, F.col("pos"))).otherwise(keys)
-        out = out.withColumn("key", keys)
-    return out
+        rows = rows.withColumn("key", F.explode(F.array(*[_key(s, F.col("pos")) for s in lengths])))
+    return rows.filter(F.col("key").isNotNull())
+
+
+def _blocks(table: DataFrame) -> list[DataFrame]:
+    """A kept table with a ``key`` in parts of about BROADCAST_ROWS rows."""
+    n = -(-table.count() // BROADCAST_ROWS)
+    return [table] if n < 2 else [table.filter(F.pmod(F.xxhash64("key", F.lit(n)), F.lit(n)) == i) for i in range(n)]
 
 
 class BenchmarkWindows:
-    """Distinct windows of a benchmark table and the shingles they are made of."""
+    """Distinct windows of a benchmark table (wid, span, words), and (wid, item) of the items that hold them."""
 
     def __init__(self, benchmark: DataFrame, item: str = "item_id", text: str = "text"):
-        items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("words"))
-        items = items.filter(F.size("words") > 0)
+        items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("words")).filter(F.size("words") > 0)
         span = F.least(F.lit(WINDOW), F.size("words"))
-        start = F.explode(F.sequence(F.lit(0), F.size("words") - span))
-        cut = items.withColumn("span", span).withColumn("at", start).select("item", "span", F.slice("words", F.col("at") + 1, F.col("span")).alias("words"))
-        cut = cut.groupBy("words", "span").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        cut = store.keep(cut.withColumn("s", F.least(F.lit(SHINGLE), F.col("span"))), "bench-windows")
-        self.lengths = sorted((r["s"] for r in cut.select("s").distinct().collect()), reverse=True)
-        at = F.explode(F.sequence(F.lit(0), F.col("span") - F.col("s")))
-        parts = cut.withColumn("off", at).withColumn("shingle", F.slice("words", F.col("off") + 1, F.col("s")))
-        distinct = parts.select("shingle", "s").distinct().withColumn("sid", F.monotonically_increasing_id())
-        self.shingles = store.keep(distinct, "bench-shingles")  # written out, so that the ids stay
-        self.n_shingles = self.shingles.count()
-        ids = parts.join(self.shingles.select("shingle", "sid"), "shingle")
-        ids = ids.groupBy("words", "span", "s", "items").agg(F.array_sort(F.collect_list(F.struct("off", "sid"))).alias("chain"))
-        self.windows = store.keep(ids, "bench-chains")
-        self.n_windows = self.windows.count()
-
-
-def _postings(docs: DataFrame, bench: BenchmarkWindows, path: str, text: str) -> DataFrame:
-    """Positions of documents that hold a benchmark shingle, and one row with sid -1 for each document."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(path).alias("doc_id"), F.xxhash64(F.col(path), content).alias("rk"), words_of(F.col(text)).alias("words"))
-    lengths = bench.lengths or [SHINGLE]
-    at = _shingles(rows, lengths)
-    end = F.lit(0).cast("long")  # the key at the end of each document, once
-    at = at.withColumn("last", (F.col("pos") == F.size("words")) & (F.col("s") == lengths[0]))
-    at = at.withColumn("key", F.when(F.col("last"), end).otherwise(F.col("key")))
-    w = [F.get("shingle", F.lit(i)).alias(f"b{i}") for i in range(SHINGLE)]
-    known = bench.shingles.select(F.col("s").alias("bs"), "sid", F.xxhash64("s", "shingle").alias("bkey"), *w)
-    # xxhash64 chains its arguments, and an array's elements in the same way.
-    marker = docs.sparkSession.createDataFrame([(None, -1, 0, None, None, None)], known.schema)
-    table = store.small(known.unionByName(marker), bench.n_shingles + 1, BROADCAST_ROWS)
-    same = (F.col("s") == F.col("bs")) & (F.get("words", F.col("pos")) == F.col("b0"))
-    same &= (F.col("s") < 2) | (F.get("words", F.col("pos") + 1) == F.col("b1"))
-    same &= (F.col("s") < 3) | (F.get("words", F.col("pos") + 2) == F.col("b2"))
-    met = at.filter(F.col("key").isNotNull()).join(table, F.col("key") == F.col("bkey"))
-    met = met.filter(F.when(F.col("last"), F.col("sid") == -1).otherwise((F.col("sid") >= 0) & same))
-    return met.select("doc_id", "rk", F.size("words").alias("n"), "pos", "s", "sid")
+        start = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("span")))
+        cut = items.withColumn("span", span).withColumn("at", start)
+        cut = store.keep(cut.select("item", F.slice("words", F.col("at") + 1, F.col("span")).alias("words")).distinct(), "bench-cut")
+        distinct = cut.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), F.size("words").alias("span"), "words")
+        self.windows = store.keep(distinct, "bench-windows")  # written out, so that the ids stay
+        self.items = store.keep(cut.filter(F.col("item").isNotNull()).join(self.windows, "words").select("wid", "item"), "bench-items")
+        self.lengths = [r["s"] for r in self.windows.select(F.least(F.lit(SHINGLE), "span").alias("s")).distinct().orderBy("s").collect()]
+
+    def shingles(self) -> DataFrame:
+        """wid, off, key of each shingle of each window."""
+        cuts = [self.windows.filter(F.least(F.lit(SHINGLE), "span") == s).withColumn("off", F.explode(F.sequence(F.lit(0), F.col("span") - s))).select("wid", "off", _key(s, F.col("off")).alias("key")) for s in self.lengths]
+        return reduce(DataFrame.union, cuts)
+
+    def prefixes(self, docs: DataFrame, path: str, text: str) -> DataFrame:
+        """key, off, wid, span, window: of each window that may occur, its rarest shingle among ``docs``."""
+        shingles = store.keep(self.shingles(), "bench-shingles")
+        known = store.keep(shingles.select("key").distinct(), "bench-keys")
+        each = [_positions(docs, self.lengths, path, text).select("key").join(F.broadcast(part), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n")) for part in _blocks(known)]
+        often = store.keep(reduce(DataFrame.union, each), "bench-often")
+        # A window with a shingle that no document has can't occur.
+        rare = shingles.join(often, "key").groupBy("wid").agg(F.min(F.struct("n", "off", "key")).alias("rare"), F.count(F.lit(1)).alias("have"))
+        whole = F.col("have") == F.col("span") - F.least(F.lit(SHINGLE), "span") + 1
+        fixed = self.windows.join(rare, "wid").filter(whole)
+        return store.keep(fixed.select("rare.key", "rare.off", "wid", "span", F.col("words").alias("window")), "bench-prefixes")
+
+
+def _hits(docs: DataFrame, bench: BenchmarkWindows, path: str, text: str) -> DataFrame:
+    """rk, start, span, wid of every occurrence of a window."""
+    start = F.col("pos") - F.col("off")
+    fits = (start >= 0) & (start + F.col("span") <= F.size("words"))
+    found = []
+    for part in _blocks(bench.prefixes(docs, path, text)):
+        met = _positions(docs, bench.lengths, path, text).join(F.broadcast(part), "key").filter(fits)
+        met = met.filter(F.slice("words", start + 1, F.col("span")) == F.col("window"))
+        found.append(met.select("rk", start.alias("start"), "span", "wid"))
+    return reduce(DataFrame.union, found)
+
+
+def _covered(spans: Column) -> Column:
+    """How many positions an array of (start, span) covers."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = F.greatest(a["upto"], x["start"] + x["span"])
+        return F.struct((a["n"] + end - F.greatest(a["upto"], F.least(x["start"], end))).alias("n"), end.alias("upto"))
+
+    return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["n"].cast("long"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, rk (its row key), n_words, n_hit and the sorted ids of items with occurring windows."""
     bench = BenchmarkWindows(benchmark)
-    posted = store.keep(_postings(docs, bench, path, text), "bench-postings")
-    ends = posted.filter("sid = -1").select("doc_id", "rk", F.col("n").cast("long").alias("n_words"))
-    held = posted.filter("sid >= 0")
-
-    # Rarity order: the necessary prefix of each window is its least frequent shingle.
-    often = held.groupBy("sid").agg(F.count(F.lit(1)).alias("n_all"))
-    chain = bench.windows.withColumn("id", F.monotonically_increasing_id())
-    chain = store.keep(chain.select("id", "span", "s", "items", F.col("chain.sid").alias("sids"), "chain"), "bench-ids")
-    each = chain.select("id", F.inline("chain")).join(often, "sid")
-    # A window with a shingle no document has can't occur.
-    full = each.groupBy("id").agg(F.min(F.struct("n_all", "off", "sid")).alias("rare"), F.count(F.lit(1)).alias("have"))
-    prefix = chain.join(full, "id").filter(F.col("have") == F.size("sids"))
-    prefix = prefix.select("span", "items", "sids", F.col("rare.sid").alias("sid"), F.col("rare.off").alias("off"))
-
-    found = held.join(store.small(prefix, bench.n_windows, BROADCAST_ROWS), "sid")
-    found = found.withColumn("start", F.col("pos") - F.col("off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("span") <= F.col("n")))
-    found = found.select("rk", "s", "start", "span", "sids", "items")
-
-    # Only documents with a candidate need their runs.
-    some = found.select("rk").distinct()
-    order = Window.partitionBy("rk", "s").orderBy("pos").rowsBetween(0, WINDOW - 1)
-    runs = held.join(some, "rk", "left_semi").groupBy("rk", "s", "pos").agg(F.first("sid").alias("sid"))
-    runs = runs.select("rk", "s", F.col("pos").alias("start"), F.collect_list("sid").over(order).alias("run"), F.collect_list("pos").over(order).alias("at"))
-    k = F.size("sids")
-    met = found.distinct().join(runs, ["rk", "s", "start"]).filter((F.slice("run", 1, k) == F.col("sids")) & (F.get("at", k - 1) == F.col("start") + k - 1))
-
-    upto = Window.partitionBy("rk").orderBy("start", "span", "sids").rowsBetween(Window.unboundedPreceding, -1)
-    until = F.col("start") + F.col("span")
-    met = met.withColumn("new", F.greatest(F.lit(0), until - F.greatest("start", F.coalesce(F.max(until).over(upto), F.lit(0)))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    hits = store.keep(met.groupBy("rk").agg(F.sum("new").cast("long").alias("n_hit"), items.alias("items")), "bench-hits")
-    joined = ends.join(hits, "rk", "left")
-    none = F.array().cast(T.ArrayType(T.StringType()))
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.col(path).alias("doc_id"), store.row_key(path, text).alias("rk"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long").alias("n_words"))
+    if not bench.lengths:
+        return rows.select("*", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    hits = _hits(docs, bench, path, text).groupBy("rk").agg(F.collect_set(F.struct("start", "span")).alias("spans"), F.array_sort(F.collect_set("wid")).alias("wids"))
+    hits = hits.select("rk", _covered(F.col("spans")).alias("n_hit"), "wids", F.xxhash64("wids").alias("h"))
+    hits = store.keep(hits, "bench-hits")
+    # The items of each distinct set of windows, as many documents may hold the same.
+    sets = hits.select("h", "wids").distinct()
+    listed = sets.select("h", "wids", F.explode("wids").alias("wid")).join(bench.items, "wid").groupBy("h", "wids").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = store.keep(listed, "bench-listed")
+    per = hits.join(store.small(listed, listed.count(), BROADCAST_ROWS // 100), ["h", "wids"], "left").select("rk", "n_hit", "items")
+    joined = rows.join(store.small(per, hits.count(), BROADCAST_ROWS // 100), "rk", "left")
     return joined.select("doc_id", "rk", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
@@ -159,6 +154,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept."""
-    bad = store.keep(contamination(docs, benchmark).filter(is_contaminated()).select(F.col("rk").alias("__rk")).distinct(), "bench-bad")
-    keyed = docs.withColumn("__rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return keyed.join(store.small(bad, bad.count(), BROADCAST_ROWS), "__rk", "left_anti").select(*docs.columns)
+    rk = store.free_name(docs.columns, "rk")
+    bad = contamination(docs, benchmark).filter(is_contaminated()).select(F.col("rk").alias(rk)).distinct()
+    bad = store.keep(bad, "bench-bad")
+    left = docs.withColumn(rk, store.row_key("doc_id", "text")).join(store.small(bad, bad.count(), BROADCAST_ROWS), rk, "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
