@@ -1,8 +1,9 @@
 """Secret scanning over an incremental blob ledger (DataFrame functions only).
 
 Every version of every document is addressed by the SHA-256 of its text. The ledger remembers which
-(blob, rule) pairs were scanned and what they held, so a run reads only texts with a pair not seen
-before; findings are then joined back to all paths that carry the blob.
+paths ever carried which blob, which (blob, rule) pairs were scanned, and what they held. A run hashes
+every text to address it, but scans only blobs with a pair not seen before; findings are joined back to
+all paths, of this run (``secret_report``) or of all versions (``BlobLedger.history``).
 
 Defined results: a null text counts as empty; an empty text has no spans and the SHA-256 of the empty
 string as digest; repeated rows each get their own result row; an empty table gives no rows; extra
@@ -46,15 +47,17 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
+#: Blobs to scan up to this many (about 100 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 _SEEN = "blob binary, rule string"
 _FOUND = "blob binary, rule string, start long, `end` long"
 
 
 class BlobLedger:
-    """Scanned (blob, rule) pairs and their findings, as two append-only Parquet tables under ``path``.
+    """Versions (path, blob), scanned (blob, rule) pairs and findings, as append-only Parquet tables under ``path``.
 
     A batch writes its findings before its seen pairs, so a run that dies between the two is scanned
-    again; readers drop the repeated findings.
+    again; readers drop what is repeated.
     """
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = BASE_RULES):
@@ -71,6 +74,25 @@ class BlobLedger:
     def findings(self) -> DataFrame:
         return self._table("findings", _FOUND).distinct()
 
+    def versions(self) -> DataFrame | None:
+        """path, blob of every version ever addressed; None before the first run."""
+        if store.exists(self.spark, f"{self.path}/versions"):
+            return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/versions").distinct()
+        return None
+
+    def _remember(self, paths: DataFrame, batch: str) -> None:
+        """Add the versions that are not on record."""
+        old = self.versions()
+        if old is not None:
+            old = old.select(F.col("path").alias("old_path"), F.col("blob").alias("old_blob"))
+            paths = paths.join(old, (F.col("blob") == F.col("old_blob")) & F.col("path").eqNullSafe(F.col("old_path")), "left_anti")
+        paths.write.parquet(f"{self.path}/versions/{batch}")
+
+    def history(self) -> DataFrame | None:
+        """path, blob, rule, start, end: the findings of all versions of all paths; None before the first run."""
+        versions = self.versions()
+        return None if versions is None else versions.join(self.findings(), "blob").select("path", "blob", "rule", "start", "end")
+
     def _unseen(self, blobs: DataFrame) -> DataFrame:
         """Each blob with the versions of the rules it was never scanned under."""
         versions = F.array(*[F.lit(r.version) for r in self.rules])
@@ -81,18 +103,18 @@ class BlobLedger:
     def scan(self, docs: DataFrame, text: str = "text", path: str = "doc_id") -> tuple[DataFrame, DataFrame]:
         """Scan what is new; returns (paths with their blob, findings of all their blobs)."""
         content = F.coalesce(F.col(text), F.lit(""))
+        batch = uuid.uuid4().hex
         addressed = docs.select(F.col(path).alias("path"), F.unhex(F.sha2(content, 256)).alias("blob"))
         paths = store.keep(addressed, "blob-paths")
-        # One carrier of each blob is read: the smallest path. The join key spreads exact copies, as
+        self._remember(paths, batch)
+        # One carrier of each blob is scanned: the smallest path. The join key spreads exact copies, as
         # it holds the path too.
         blobs = paths.groupBy("blob").agg(F.min("path").alias("carrier"))
-        todo = self._unseen(blobs.select("blob", F.xxhash64("carrier", "blob").alias("at")))
-        batch = uuid.uuid4().hex
-        todo = store.keep(todo, "blob-todo")
+        todo = store.keep(self._unseen(blobs.select("blob", F.xxhash64("carrier", "blob").alias("at"))), "blob-todo")
         texts = docs.select(F.col(path).alias("path"), content.alias("content"))
         texts = texts.withColumn("address", F.unhex(F.sha2("content", 256)))
         texts = texts.select("content", "address", F.xxhash64("path", "address").alias("at"))
-        fresh = texts.join(todo, "at").filter(F.col("blob") == F.col("address"))
+        fresh = texts.join(store.small(todo, todo.count(), BROADCAST_ROWS), "at").filter(F.col("blob") == F.col("address"))
         hits = [self._matches(r, F.col("content")) for r in self.rules]
         fresh = fresh.select("blob", F.concat(*hits).alias("hits")).filter(F.size("hits") > 0)
         fresh = fresh.groupBy("blob").agg(F.first("hits").alias("hits"))  # repeated rows of one carrier
