@@ -3,14 +3,17 @@
 Each page is one capture of three records: request, response (or revisit) and metadata. Request and
 metadata name the response in WARC-Concurrent-To; the reader joins the three through it and gives one
 nested row per capture. Equal payloads of ``least`` bytes or more are stored once, with the smallest
-page_id; the other captures are revisits of it.
+page_id; the other captures are revisits, which name that record in WARC-Refers-To. The reader finds size,
+digest and page of a revisit through this record id, and fails where it is missing or where a declared
+digest is not that of the payload.
 
 Archives are written and read by Spark's own sinks and sources, so any store that Spark knows will do:
 the text sink ends each record with the two line breaks the format asks for.
 
 Defined results: a null html is an empty payload; a null url is archived as ``urn:page:<page_id>``;
-rows that repeat the smallest page_id of a payload are all responses; without any page_id in a group of
-equal payloads all are responses; an empty table gives an empty archive and no rows.
+rows that repeat the smallest page_id of a payload are all responses, with record ids of their own, and
+one of them is referred to; without any page_id in a group of equal payloads all are responses; an empty
+table gives an empty archive and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,22 +57,20 @@ def _payload() -> Column:
 def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """Write all pages as gzipped WARC files below ``path``."""
     named = pages.select("page_id", F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", ""), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("url"), _payload().alias("html"))
-    named = named.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long")})
-    narrow = store.keep(named.select("page_id", "url", "digest", "bytes"), "warc-digests")
-    total = narrow.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-    carrier = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
-    firsts = narrow.filter(F.col("bytes") >= least).groupBy("digest").agg(carrier, F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    named = named.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long"), "row": F.monotonically_increasing_id()})
+    named = store.keep(named, "warc-rows")  # written out, so that row numbers and record ids stay
+    total = named.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    carrier = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first")
+    firsts = named.filter(F.col("bytes") >= least).groupBy("digest").agg(carrier, F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
     firsts = store.keep(firsts.select("digest", "first"), "warc-firsts")
     joined = named.join(store.small(firsts, firsts.count(), BROADCAST_ROWS), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first.page_id"), F.lit(False))
-    joined = joined.withColumn("revisit", revisit).withColumn("row", F.monotonically_increasing_id())
+    joined = joined.withColumn("revisit", revisit)
 
-    def response_id(page: Column, url: Column) -> Column:
-        return _urn(F.lit("response"), page.cast("string"), url, F.col("digest"))
+    def record_id(page: Column, row: Column) -> Column:
+        return _urn(F.lit("capture"), page.cast("string"), F.col("digest"), row.cast("string"))
 
-    me = response_id(F.col("page_id"), F.col("url"))
-    rid = F.when(F.col("revisit"), _urn(F.lit("revisit"), F.col("page_id").cast("string"), F.col("url"), F.col("digest"), F.col("row"))).otherwise(me)
-    joined = joined.withColumn("rid", rid)
+    joined = joined.withColumn("rid", record_id(F.col("page_id"), F.col("row")))
     uri = ("WARC-Target-URI", F.col("url"))
     host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
     target = F.regexp_replace("url", r"^[a-zA-Z]+://[^/?#]*", "")
@@ -77,19 +78,20 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     body = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html")))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
-    to = F.when(F.col("revisit"), response_id(F.col("first.page_id"), F.col("first.url")))
+    to = F.when(F.col("revisit"), record_id(F.col("first.page_id"), F.col("first.row")))
     more = [uri, digest, ("WARC-Profile", F.when(F.col("revisit"), F.lit(PROFILE))), ("WARC-Refers-To", to), ("WARC-Refers-To-Target-URI", F.when(F.col("revisit"), F.col("first.url")))]
     response = _record(F.when(F.col("revisit"), "revisit").otherwise("response"), F.col("rid"), "application/http;msgtype=response", body, more)
     beside = [uri, ("WARC-Concurrent-To", F.col("rid"))]
-    fields = F.concat_ws(CRLF, F.concat(F.lit("page_id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload_bytes: "), F.col("bytes").cast("string")), F.concat(F.lit("refers_to: "), F.when(F.col("revisit"), F.col("first.page_id").cast("string"))))
+    fields = F.coalesce(F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(CRLF))
     records = F.array(
         _record("request", _urn(F.lit("request"), F.col("rid")), "application/http;msgtype=request", request, beside), response,
-        _record("metadata", _urn(F.lit("metadata"), F.col("rid")), "application/warc-fields", F.concat(fields, F.lit(CRLF)), beside),
+        _record("metadata", _urn(F.lit("metadata"), F.col("rid")), "application/warc-fields", fields, beside),
     )
     mean = (total[1] or 0) / max(1, total[0]) + 1500
     lines = joined.select(F.explode(records).alias("value"))
     sink = lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(3, 3 * int(FILE_BYTES / mean)))
     sink.text(path)
+    store.discard(named)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -106,7 +108,7 @@ def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n + 4
 
 
-RECORD = "kind string, record_id string, concurrent_to string, target_uri string, declared_digest string, refers_to_record string, block_bytes long, payload_bytes long, payload_digest string, page_id long, told_bytes long, told_refers_to long"
+RECORD = "kind string, record_id string, concurrent_to string, target_uri string, declared_digest string, refers_to_record string, block_bytes long, payload_bytes long, payload_digest string, page_id long"
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -128,12 +130,12 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
                     rows.append(
                         (
                             kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, head.get("warc-refers-to"), len(block),
-                            None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(), number("page_id"), number("payload_bytes"), number("refers_to"), *([payload] if payloads else []),
+                            None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(), number("page_id"), *([payload] if payloads else []),
                         )
                     )
                 names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * payloads
                 out = pd.DataFrame(rows, columns=names)
-                for c in ("block_bytes", "payload_bytes", "page_id", "told_bytes", "told_refers_to"):
+                for c in ("block_bytes", "payload_bytes", "page_id"):
                     out[c] = out[c].astype("Int64")
                 yield out
 
@@ -154,14 +156,29 @@ def assemble(records: DataFrame) -> DataFrame:
     return response.join(beside("request"), "capture", "left").join(beside("metadata"), "capture", "left")
 
 
+def resolved(captures: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of assembled captures; revisits found by record id."""
+    flat = captures.select(
+        "capture", "response.kind", "metadata.page_id", "response.payload_bytes", "response.payload_digest", "response.declared_digest", "response.refers_to_record",
+    )
+    flat = store.keep(flat, "warc-captures")
+    asked = flat.filter("kind = 'revisit'").select(F.col("refers_to_record").alias("capture")).distinct()
+    first = flat.filter("kind = 'response'").join(asked, "capture")
+    first = first.select(F.col("capture").alias("refers_to_record"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
+    first = store.keep(first, "warc-referred")
+    joined = flat.join(store.small(first, first.count(), BROADCAST_ROWS), "refers_to_record", "left")
+    digest = F.coalesce("payload_digest", "first_digest")
+    checked = (
+        F.when(digest.isNull(), F.raise_error(F.concat(F.lit("a revisit refers to no record: "), F.coalesce("refers_to_record", F.lit("-")))))
+        .when(digest != F.coalesce("declared_digest", digest), F.raise_error(F.concat(F.lit("declared digest differs: "), F.col("capture"))))
+        .otherwise(digest)
+    )
+    return joined.select("page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), checked.alias("payload_digest"), F.col("kind").alias("record_type"), F.col("first_page").alias("refers_to"))
+
+
 def archive_report(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the archive, read it back, assemble; per page what the archive says of it."""
     spark = pages.sparkSession
     path = path or store.fresh_path(spark, "warc")
     write_archive(pages, path)
-    rows = assemble(store.keep(read_records(spark, path), "warc-records"))
-    return rows.select(
-        F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.told_bytes").alias("payload_bytes"),
-        F.coalesce("response.payload_digest", "response.declared_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"), F.col("metadata.told_refers_to").alias("refers_to"),
-    )
+    return resolved(assemble(store.keep(read_records(spark, path), "warc-records")))
