@@ -165,9 +165,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken. The plan is small, so texts are not shuffled."""
     _, plan = plan_mix(docs, weights)
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    sized = _sized(docs)
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["src"])).withColumn("__copies", _copies("__h", "__size"))
-    rows = joined.filter(F.col("__copies") > 0).select(*[sized[c].alias(names[c]) for c in docs.columns], "__copies")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+    # The row rides along whole, so that its columns may have any names.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = _sized(docs.select(row, "doc_id", "source", "text"))
+    joined = sized.join(plan, sized["source"].eqNullSafe(plan["src"])).withColumn("copies", _copies("__h", "__size"))
+    rows = joined.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.select("row.*")

@@ -61,9 +61,24 @@ def test_ledger_scans_only_what_is_new(spark):
     # An old version kept at a new path is found without a scan; a new rule is scanned for old blobs.
     moved = secret_ledger.secret_report(docs(spark, "token=abcdef", ids=[99]), again).first()
     assert (moved.doc_id, moved.n_assign) == (99, 1)
+    # Every version a path ever had stays on record, once.
+    secret_ledger.secret_report(docs(spark, "now plain", "plain"), again)
+    secret_ledger.secret_report(docs(spark, "now plain", "plain"), again)
+    assert again.versions().count() == 5
+    assert sorted((r.path, r.start, r.end) for r in again.history().collect()) == [(0, 0, 12), (2, 0, 12), (99, 0, 12)]
     wider = BlobLedger(spark, path, (*secret_ledger.BASE_RULES, Rule("plain", "plain", 0, 1)))
     assert {r.doc_id: r.n_plain for r in secret_ledger.secret_report(first, wider).collect()} == {0: 0, 1: 1, 2: 0}
-    assert wider.seen().count() == 8
+    assert wider.seen().count() == 11
+
+
+def test_windows_in_blocks(spark, monkeypatch):
+    rng_words = [f"w{i * 7919 % 97}" for i in range(400)]
+    items = [(i, " ".join(rng_words[5 * i : 5 * i + 20])) for i in range(60)] + [(100, "w1 w2")]
+    texts = [" ".join(rng_words[i : i + 3 + 11 * (i % 5)]) for i in range(0, 300, 6)]
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 50)
+    got = decontam.contamination_report(docs(spark, *texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = contaminated(texts, items)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and sum(w[4] for w in want.values()) > 10
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,6 +147,7 @@ def test_archives(spark):
     assert sum(r.kind == "response" and bytes(r.payload) == big.encode() for r in records) == 2
     first = {r.record_id for r in records if r.kind == "response"}
     assert all(r.refers_to_record in first for r in records if r.kind == "revisit")
+    assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
@@ -142,6 +158,20 @@ def test_incomplete_transactions(spark):
     assert len(got) == 1 and got[0].request is None and got[0].metadata.record_id == "m1"
 
 
+def test_revisits_are_found_by_record_id(spark):
+    record = "struct<kind:string,page_id:long,payload_bytes:long,payload_digest:string,declared_digest:string,refers_to_record:string>"
+    one = ("r1", ("response", None, 9, "aa", "aa", None), (None, 4, None, None, None, None))
+    two = ("r2", ("revisit", None, None, None, "aa", "r1"), (None, 8, None, None, None, None))
+    captures = lambda *rows: spark.createDataFrame(list(rows), f"capture string, response {record}, metadata {record}")
+    got = sorted(map(tuple, warc.resolved(captures(one, two)).collect()))
+    assert got == [(4, 9, "aa", "response", None), (8, 9, "aa", "revisit", 4)]
+    wrong = ("r3", ("revisit", None, None, None, "bb", "r1"), (None, 9, None, None, None, None))
+    lost = ("r4", ("revisit", None, None, None, "aa", "gone"), (None, 9, None, None, None, None))
+    for bad, why in ((wrong, "declared digest differs"), (lost, "refers to no record")):
+        with pytest.raises(Exception, match=why):
+            warc.resolved(captures(one, bad)).collect()
+
+
 def test_targets():
     sizes = {"a": 10, "b": 1000, None: 500, "ä": 100}
     t = mixing.targets(sizes, (5, 2, 1))
