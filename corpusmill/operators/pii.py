@@ -80,7 +80,9 @@ def _pass(rows: DataFrame, i: int, known: Column | None) -> DataFrame:
         return F.concat(F.get(g, j), F.when(normal == "", x).otherwise(told))
 
     whole = F.concat(F.array_join(F.transform(m, token), ""), F.element_at(g, -1))
-    return rows.select("*", F.when(F.col(g).isNull(), F.col(t)).otherwise(whole).alias(f"t{i + 1}"))
+    done = F.struct(m, n, d, F.when(F.col(g).isNull(), F.col(t)).otherwise(whole).alias(f"t{i + 1}"))
+    # Through a generator, as the optimizer would put the whole pass in each place that reads its result.
+    return rows.select(*[c for c in rows.columns if c not in (t, m, n, d, g)], F.inline(F.array(done)))
 
 
 def _values(kind: str) -> Column:
@@ -123,8 +125,7 @@ def _numbered(first: DataFrame) -> DataFrame:
 def token_table(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """type, normalized, token, display, first_ord of a table's values, numbered by first appearance."""
     seen = _passes(rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "text")
-    # Written out, as the optimizer would repeat the passes for each field that is taken from their result.
-    seen = written(seen.select(F.col("row.key").alias("ord"), "values"), "pii-seen")
+    seen = seen.select(F.col("row.key").alias("ord"), "values")
     seen = seen.select("ord", F.posexplode("values").alias("place", "v")).select("ord", "place", "v.*")
     first = _numbered(seen.groupBy("type", "normalized").agg(F.min(F.struct("ord", "place", "display")).alias("f")))
     token = F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("number").cast("string"), F.lit("]"))
@@ -138,7 +139,7 @@ def mask_table(rows: DataFrame, tokens: DataFrame, key: str = "doc_id", text: st
     small map, so the token table may be of any size.
     """
     base = written(rows.select(F.monotonically_increasing_id().alias("n"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "pii-rows")
-    seen = written(_passes(base, "text").select(F.col("row.n").alias("n"), "values"), "pii-seen")
+    seen = _passes(base, "text").select(F.col("row.n").alias("n"), "values")
     seen = seen.select("n", F.explode("values").alias("v")).select("n", "v.type", "v.normalized")
     mine = seen.join(tokens.select("type", "normalized", "token"), ["type", "normalized"])
     pairs = mine.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "normalized"), "token"))).alias("tokens"))

@@ -77,7 +77,8 @@ class CorpusService:
         if not mask:
             return queries
         rest = [c for c in queries.columns if c != "query"]
-        return pii.mask_rows(queries, "query").select(*rest, F.col("masked").alias("query"))
+        # Written out, as the queries are read several times.
+        return written(pii.mask_rows(queries, "query").select(*rest, F.col("masked").alias("query")), "masked")
 
     def _hybrid(self, index: Index, semantic_k: int, lexical_k: int, final_k: int) -> HybridRetrieval:
         return HybridRetrieval(index, lambda c: models.embed_column(c, self.embed, "query"), semantic_k, lexical_k, final_k)
@@ -93,7 +94,7 @@ class CorpusService:
         """As ``retrieve``, a row for each query: masked query, scope, audit (token -> value), fused chunks and their context."""
         index = self.index()
         rest = queries.select("query_id", "query", "scope")
-        masked = pii.mask_rows(rest, "query") if mask else rest.withColumns({"masked": F.col("query"), "audit": F.create_map().cast("map<string,string>")})
+        masked = written(pii.mask_rows(rest, "query"), "masked") if mask else rest.withColumns({"masked": F.col("query"), "audit": F.create_map().cast("map<string,string>")})
         asked = default_scope(masked.select(F.col("query_id").cast("string").alias("query_id"), F.col("masked").alias("query"), "scope", "audit"), index.chunks)
         told = self._hybrid(index, semantic_k, lexical_k, final_k).explained(asked.select("query_id", "query", "scope"))
         return asked.join(told, "query_id", "left")
@@ -115,7 +116,7 @@ class CorpusService:
         answers = Answering(self.index(), self.embed, self.rerank, self.write).robust(left, source, threshold)
         fresh = written(left.join(answers, "query_id"), "answers")
         out = fresh.select("query_id", "answer", "status", F.lit(False).alias("cached"))
-        log = fresh.filter("status = 'answered'").select((F.lit(batch) * (1 << 20) + F.row_number().over(Window.partitionBy("scope").orderBy("query_id"))).alias("seq"), "scope", "query", F.col("answer").alias("result"))
+        log = fresh.filter("status = 'answered'").select((F.lit(batch) * (1 << 20) + F.row_number().over(Window.partitionBy("scope").orderBy("query_id"))).cast("long").alias("seq"), "scope", "query", F.col("answer").alias("result"))
         entries = cache.entries(log)
         if hits is not None:
             out = out.unionByName(hits.select("query_id", F.col("result").alias("answer"), F.lit("answered").alias("status"), F.lit(True).alias("cached")))

@@ -23,6 +23,8 @@ def test_service(spark, tmp_path):
     ask = spark.createDataFrame([("1", "where does the cat club sit")], "query_id string, query string")
     first, again = s.chat(ask, 1).collect(), s.chat(ask, 2).collect()
     assert not first[0].cached and again[0].cached and again[0].answer == first[0].answer
+    used = {r.last_used for r in s.corpus.read("cache", "key").collect()}
+    assert used == {(2 << 20) + (1 << 19) + 1}  # the entry that was hit is the newest again
     frames = CorpusService.frames(s.chat(ask, 3)).orderBy("i").collect()
     assert frames[0].frame.startswith('event: token\ndata: {"text":"')
     assert chunk_json(s.index().chunks).count() == 2
