@@ -35,7 +35,7 @@ QUERY_STEP = 50
 TOP = 5
 FIT_ROWS = 20_000
 #: Share of all entries that a query's visited cells hold, at least; see the tests for the recall this gives.
-SHARE = 0.6
+SHARE = 0.75
 #: And so many entries at least, all if there are fewer.
 LEAST = 100
 #: Lengths of vectors that have codebooks.
