@@ -41,7 +41,7 @@ COMPONENTS = BANDS * ROWS
 #: Pairs whose signatures agree less reach SIMILAR with a chance under 1 in 2000.
 AGREE = 0.68
 #: Shingles and nodes compared with each other at once, on either side; a larger cluster has more chunks.
-CHUNK, CHUNK_NODES = 4_000_000, 128
+CHUNK, CHUNK_NODES = 64_000, 128
 #: Shingles that more nodes of a chunk share are counted by matrix products.
 DENSE = 24
 BROADCAST_ROWS = 400_000
