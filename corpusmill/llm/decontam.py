@@ -25,8 +25,9 @@ from . import store
 
 WINDOW = 13
 SHINGLE = 3
-#: Word characters before lower-casing A-Z; the same runs as after it.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Word characters before lower-casing A-Z; the same runs as after it. Java looks a character up in a
+#: table if a class lists its characters one by one, which is a tenth of the work of trying ranges.
+WORDS = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a block of prefixes or shingles, about, which is broadcast (up to 300 bytes each); also of any other broadcast.
 BROADCAST_ROWS = 200_000

@@ -110,6 +110,16 @@ def contaminated(texts, items):
 LONG = " ".join(f"w{i % 17} x{i % 5}" for i in range(60))
 
 
+def test_word_class(spark):
+    """The class of the contract, in a form without ranges, which Java tries one by one for each character."""
+    assert "-" not in decontam.WORDS
+    chars = [*range(300), 0x2028, 0x3042, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]
+    rows = spark.createDataFrame([(f"a{chr(c)}b{chr(c)}{chr(c)}",) for c in chars], "t string")
+    contract = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    got = rows.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(k) for k, p in (("a", decontam.WORDS), ("b", contract))]).collect()
+    assert len(got) == len(chars) and all(r.a == r.b for r in got)
+
+
 @pytest.mark.parametrize(
     "items",
     [
