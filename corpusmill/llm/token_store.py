@@ -114,8 +114,8 @@ class PieceEncoder:
     """Encodes with the ``tokenizers`` library, remembering the ids of pieces seen before.
 
     A byte-level vocabulary cuts a text before any tokenizing wherever a space or line feed follows a
-    character that is no white space, and between an ASCII letter or digit and a mark after it. So such
-    pieces can be encoded one by one, each new one once. Pieces are told apart by two hashes of their
+    character that is no white space, between a line feed and such a character after it, and between an
+    ASCII letter or digit and a mark after it. So such pieces can be encoded one by one, each new one once. Pieces are told apart by two hashes of their
     bytes, for which long pieces are no matter: texts with one, with other white space, with runs of
     white space, with white space at the end, or with an added token are encoded whole.
     """
@@ -129,33 +129,40 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        (self.nul,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_OTHER_SPACE, *added]))
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.other_space = re.compile(_OTHER_SPACE)
         self.table = PieceTable()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece; many go in one call as words of one sequence, each followed by a NUL, which no piece holds."""
+        """Ids of each piece; many go in one call as lines, as a line feed stands alone and no piece holds one besides others."""
         out: list[np.ndarray] = []
         for at in range(0, len(pieces), 2000):
             part = pieces[at : at + 2000]
-            words = ["\0"] * (2 * len(part))
-            words[::2] = part
-            (e,) = self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+            (e,) = self.tokenizer.encode_batch_fast(["\n".join(["x" if p == "\n" else p for p in part]) + "\n"], add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u2")
-            ends = np.flatnonzero(ids == self.nul).tolist()
+            ends = np.flatnonzero(ids == self.feed).tolist()
             out += [ids[a:b] for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
+            if "\n" in part:
+                out[at + part.index("\n")] = np.array([self.feed], dtype="<u2")
         return out
 
+    def _odd(self, text: str) -> bool:
+        """Whether a text must be encoded whole for its white space or an added token."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or any(a in text for a in self.added):
+            return True
+        # Other white space is not printable, which is quicker to tell.
+        return not text.replace("\n", "").isprintable() and self.other_space.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as unsigned little-endian 16-bit numbers."""
         out: list = [None] * len(texts)
         whole, group, size = [], [], 0
         for i, t in enumerate(texts):
-            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[-1:] in (" ", "\n") or self.odd.search(t):
+            if self._odd(t):
                 whole.append(i)
                 continue
             group.append((i, t.encode("utf-8", "surrogatepass")))
@@ -177,7 +184,7 @@ class PieceEncoder:
         kind = _KIND[b]
         cut = (kind >= 4) | (kind == 2)
         cut[1:] &= (kind[1:] != 2) | (kind[:-1] == 1)
-        cut[1:] |= kind[:-1] == 5
+        cut[1:] |= kind[:-1] >= 5
         cut[0] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(b))
@@ -236,12 +243,11 @@ def _powers(n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return _POWERS[0], _POWERS[1]
 
 
-#: What a byte is: 1 letter or digit, 2 mark, 4 space or line feed, 5 NUL, 0 anything else.
+#: What a byte is: 1 letter or digit, 2 mark, 4 space, 5 NUL, 6 line feed, 0 anything else.
 _KIND = np.zeros(256, np.uint8)
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
 _KIND[[ord(c) for c in _MARKS]] = 2
-_KIND[[32, 10]] = 4
-_KIND[0] = 5
+_KIND[32], _KIND[0], _KIND[10] = 4, 5, 6
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

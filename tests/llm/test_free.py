@@ -48,6 +48,18 @@ def test_pieces_equal_whole_texts():
         assert coder.encode([t or "" for t in TEXTS]) == [np.array(x, "<u2").tobytes() for x in fresh_ids(TEXTS)]
 
 
+def test_lines_share_pieces():
+    """A line feed is a piece of its own, so the first word of a line is the one of a text."""
+    coder = token_store.PieceEncoder(tokenizer_path())
+    texts = ["bar", "Foo", "\nFoo bar", "a\n'sfoo", "\n.,x\n!", "Foo\x85bar", "Foo\u3000\n", "a\tb", "a\x00b", "\xa0\nFoo", "x<|endoftext|>y", "\u200bFoo\nbar", "\n"]
+    assert coder.encode(texts) == [np.array(x, "<u2").tobytes() for x in fresh_ids(texts)]
+    coder.table.clear()
+    coder.encode(["Foo bar\nbar"])
+    held = coder.table.count
+    coder.encode(["bar\nFoo bar\nbar"])
+    assert coder.table.count == held
+
+
 def expected(rows):
     """(doc_id, start, n_tokens, ids_crc32) of rows (doc_id, text, ...), nulls first, repeated doc_ids by checksum."""
     coded = [(r[0], [*x, 2]) for r, x in zip(rows, fresh_ids([r[1] for r in rows]))]
