@@ -54,20 +54,21 @@ RIDGE = 1e-3
 #: Penalty of the curve's weights.
 PRIOR = 0.3
 #: Parts whose kernel values a worker remembers, a byte for each landmark.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Parts compared with landmarks at once, and parts whose values are gathered at once.
 BATCH, GATHERED = 1024, 65_536
 CUT = 0.5
 
 #: Sentences mapped, and rows of the machine taken, at once.
 BLOCK = 4096
-#: Documents scored at once.
-SCORED_ROWS = 128
+#: Documents scored at once, and their characters, about.
+SCORED_ROWS, SCORED_CHARS = 512, 1 << 20
 
 #: Symbols of the alphabet, and subsequences after hashing.
-_ALPHABET, _KEYS = 64, 1 << 20
-_PICKS = np.array([(0, *c) for c in combinations(range(1, SPAN), 3)])
-_WEIGHTS = DECAY ** (_PICKS[:, 3] - 3.0)
+_ALPHABET, _KEY_BITS = 64, 20
+_KEYS = 1 << _KEY_BITS
+#: Of a subsequence, by its last character's place after the third; the four fill two bits.
+_WEIGHTS = DECAY ** np.arange(SPAN - 3.0)
 WORST = 3
 _SENTENCE = re.compile(r"[.!?;:\n\r]+(?=\s|$)")
 _SPACED = re.compile(r"(?:(?<=[\s\W_])|^)\w(?:[\s\W_]{1,3}\w(?!\w)){3,}")
@@ -91,10 +92,15 @@ def parts(sentence: str) -> list[str]:
         out += [p for w in words if len(w) > LONGEST for p in pieces(w)]
     size = [len(w) <= SHORT for w in words]
     out += [words[i] + words[i + 1] for i in range(len(words) - 1) if size[i] and size[i + 1]]
+    return out + spaced(sentence)
+
+
+def spaced(sentence: str) -> list[str]:
+    """Runs of single letters, without what is between them."""
     # Four single letters in a row are rare; a cheap mark must be there before the pattern is tried.
-    if _SINGLE.search(f" {sentence} "):
-        out += [p for m in _SPACED.finditer(sentence) for p in pieces(_INNER.sub("", m.group())) if p]
-    return out
+    if not _SINGLE.search(f" {sentence} "):
+        return []
+    return [p for m in _SPACED.finditer(sentence) for p in pieces(_INNER.sub("", m.group())) if p]
 
 
 def pieces(word: str) -> list[str]:
@@ -106,31 +112,30 @@ def pieces(word: str) -> list[str]:
 def _codes(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all words, each after a mark; number of its word)."""
     c = np.frombuffer("\0".join(["", *batch]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    mark = c == 0
-    small = np.where((c >= 97) & (c <= 122), c - 96, np.where(mark, 27, 28 + c % 36)).astype(np.int32)
-    return small, np.cumsum(mark) - 1
+    length = np.array([1 + len(w) for w in batch], dtype=np.int64)
+    small = np.where((c >= 97) & (c <= 122), c - 96, 28 + c % 36).astype(np.uint32)
+    small[np.cumsum(length) - length] = 27
+    return small, np.repeat(np.arange(len(batch)), length)
 
 
 def subsequences(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence, weight), one row for each distinct subsequence of a word, in that order."""
     sym, word = _codes(batch)
-    n = len(sym)
-    owner, key, weight = [], [], []
-    for (_, i, j, k), w in zip(_PICKS, _WEIGHTS, strict=True):
-        if n <= k:
-            continue
-        ok = np.flatnonzero(word[: n - k] == word[k:])
-        owner.append(word[ok])
-        whole = ((sym[ok] * _ALPHABET + sym[ok + i]) * _ALPHABET + sym[ok + j]) * _ALPHABET + sym[ok + k]
-        key.append((whole.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(12))
-        weight.append(np.full(len(ok), w))
-    if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    both = np.concatenate(owner).astype(np.int64) * _KEYS + np.concatenate(key)
-    order = np.argsort(both, kind="stable")
-    both, weight = both[order], np.concatenate(weight)[order]
+    # Word, subsequence and span in one number, which sorts much quicker in 32 bits.
+    kind = np.uint32 if len(batch) <= 1 << 10 else np.uint64
+    rows = [np.zeros(0, kind)]
+    for k in range(3, SPAN):
+        at = np.flatnonzero(word[:-k] == word[k:])
+        ends = (word[at].astype(kind) << kind(22)) | kind(k - 3)
+        c = [sym[at + i] for i in range(k + 1)]
+        for i, j in combinations(range(1, k), 2):
+            whole = ((c[0] * _ALPHABET + c[i]) * _ALPHABET + c[j]) * _ALPHABET + c[k]
+            rows.append(((whole * np.uint32(2654435761)) >> np.uint32(12)).astype(kind) << kind(2) | ends)
+    both = np.concatenate(rows)
+    both.sort()
+    weight, both = _WEIGHTS[both & kind(3)], (both >> kind(2)).astype(np.int64)
     first = np.flatnonzero(np.diff(both, prepend=-1))
-    return both[first] // _KEYS, both[first] % _KEYS, np.add.reduceat(weight, first) if len(first) else weight
+    return both[first] >> _KEY_BITS, both[first] & (_KEYS - 1), np.add.reduceat(weight, first) if len(first) else weight
 
 
 @dataclass
@@ -138,29 +143,41 @@ class Landmarks:
     """Kernel values against a list of words."""
 
     names: list[str]
-    row: np.ndarray = field(init=False)  # subsequence -> row of table, -1 if no landmark has it
-    table: np.ndarray = field(init=False)
+    row: np.ndarray = field(init=False)  # subsequence -> its row, -1 if no landmark has it
+    start: np.ndarray = field(init=False)  # row -> its first place in the two lists below, which hold one entry
+    mark: np.ndarray = field(init=False)  # for each landmark that has the subsequence: which,
+    value: np.ndarray = field(init=False)  # and its weight there
     norm: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         owner, key, weight = subsequences(self.names)
-        held, at = np.unique(key, return_inverse=True)
+        order = np.argsort(key, kind="stable")
+        held, at = np.unique(key[order], return_index=True)
         self.row = np.full(_KEYS, -1, np.int32)
         self.row[held] = np.arange(len(held))
-        self.table = np.zeros((len(held), len(self.names)), np.float32)
-        self.table[at, owner] = weight
-        self.norm = np.sqrt(np.maximum((self.table.astype(np.float64) ** 2).sum(axis=0), 1e-12))
+        self.start, self.mark, self.value = np.append(at, len(key)), owner[order], weight[order]
+        self.norm = np.sqrt(np.maximum(np.bincount(owner, weights=weight**2, minlength=len(self.names)), 1e-12))
 
     def kernel(self, batch: list[str]) -> np.ndarray:
         owner, key, weight = subsequences(batch)
         own = np.sqrt(np.bincount(owner, weights=weight**2, minlength=len(batch)))
         row = self.row[key]
         met = np.flatnonzero(row >= 0)
-        out = np.zeros((len(batch), len(self.names)), np.float32)
-        if len(met):
-            first = np.flatnonzero(np.diff(owner[met], prepend=-1))
-            out[owner[met][first]] = np.add.reduceat(self.table[row[met]] * weight[met, None].astype(np.float32), first, axis=0)
-        return (out / (np.maximum(own, 1e-12)[:, None] * self.norm)) ** POWER
+        begin, size = self.start[row[met]], np.diff(self.start)[row[met]]
+        at = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+        cell = np.repeat(owner[met] * len(self.names), size) + self.mark[at]
+        both = np.bincount(cell, weights=np.repeat(weight[met], size) * self.value[at], minlength=len(batch) * len(self.names))
+        out, some = np.zeros(len(both)), np.flatnonzero(both)
+        out[some] = (both[some] / (own[some // len(self.names)] * self.norm[some % len(self.names)])) ** POWER
+        return out.reshape(len(batch), len(self.names))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of numbers below 2^32, sorted."""
+    both = a << 32 | b
+    both.sort()
+    both = both[np.flatnonzero(np.diff(both, prepend=-1))]
+    return both >> 32, both & 0xFFFFFFFF
 
 
 class SentenceMap:
@@ -173,37 +190,99 @@ class SentenceMap:
         self.landmarks = landmarks
         self.place: dict[str, int] = {}
         self.table = np.zeros((0, len(landmarks.names)), np.uint8)
+        self.any = np.zeros(0, bool)  # whether a row of the table is not all zeros
         self.used = 0
 
     def _remember(self, new: list[str]) -> None:
         if self.used + len(new) > len(self.table):
             size = max(2 * len(self.table), self.used + len(new), 1 << 14)
+            self.any = np.concatenate([self.any, np.zeros(size - len(self.table), bool)])
             self.table = np.concatenate([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.uint8)])
         for i in range(0, len(new), BATCH):
             some = new[i : i + BATCH]
             self.table[self.used : self.used + len(some)] = np.rint(np.minimum(self.landmarks.kernel(some), 1) * 255)
+            self.any[self.used : self.used + len(some)] = self.table[self.used : self.used + len(some)].any(axis=1)
             self.place.update(zip(some, range(self.used, self.used + len(some)), strict=True))
             self.used += len(some)
 
-    def values(self, bags: list[list[str]]) -> np.ndarray:
-        """One row for each sentence, given its parts; a sentence without parts has zeros."""
-        out = np.zeros((len(bags), self.table.shape[1]), np.uint8)
+    def _places(self, new: set[str]) -> dict[str, int]:
+        """Places of all remembered parts, these among them."""
         if self.used > REMEMBERED:
             self.place.clear()
             self.used = 0
-        new = list(set().union(*bags).difference(self.place)) if bags else []
-        self._remember(new)
-        place = self.place
-        full = [i for i, b in enumerate(bags) if b]
-        at = np.array([place[p] for i in full for p in bags[i]], dtype=np.int64)
-        starts = np.cumsum([0, *[len(bags[i]) for i in full]])
+        self._remember(list(new.difference(self.place)))
+        return self.place
+
+    def _largest(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The largest values of runs of places, none empty; ``starts``: where each begins, and the end."""
+        out = np.zeros((len(starts) - 1, self.table.shape[1]), np.uint8)
         k = 0
-        while k < len(full):  # whole sentences, about GATHERED parts at once
+        while k < len(out):  # whole sentences, about GATHERED parts at once
             z = max(k + 1, int(np.searchsorted(starts, starts[k] + GATHERED, "right")) - 1)
-            out[full[k:z]] = np.maximum.reduceat(self.table[at[starts[k] : starts[z]]], starts[k:z] - starts[k], axis=0)
+            out[k:z] = np.maximum.reduceat(self.table[at[starts[k] : starts[z]]], starts[k:z] - starts[k], axis=0)
             k = z
         return out
 
+    def values(self, bags: list[list[str]]) -> np.ndarray:
+        """One row for each sentence, given its parts; a sentence without parts has zeros."""
+        out = np.zeros((len(bags), self.table.shape[1]), np.uint8)
+        place = self._places(set().union(*bags))
+        full = [i for i, b in enumerate(bags) if b]
+        at = np.array([place[p] for i in full for p in bags[i]], dtype=np.int64)
+        out[full] = self._largest(at, np.cumsum([0, *[len(bags[i]) for i in full]]))
+        return out
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[int]]:
+        """(``values`` of the ``parts`` of all ``sentences``, the sentences of each text, its distinct parts).
+
+        Each distinct word of the texts is looked at once.
+        """
+        words: list[str] = []
+        lengths: list[int] = []
+        counts: list[int] = []
+        torn: list[tuple[int, str]] = []  # sentence, and a part of it that is not a word's or two words'
+        for t in texts:
+            text, before = t.lower(), len(lengths)
+            rare = _SINGLE.search(f" {text} ")
+            for s in _SENTENCE.split(text):
+                if found := s.split():
+                    if rare:
+                        torn += [(len(lengths), p) for p in spaced(s)]
+                    words += found
+                    lengths.append(len(found))
+            counts.append(len(lengths) - before)
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        del words
+        bare = [w.strip(_STRIP) for w in number]
+        size = np.array([len(w) for w in bare], dtype=np.int64)
+        sentence = np.repeat(np.arange(len(lengths)), lengths)
+        at, sentence = at[size[at] > 0], sentence[size[at] > 0]
+        long = size > LONGEST
+        for i in np.flatnonzero(long[at]).tolist():
+            torn += [(int(sentence[i]), p) for p in pieces(bare[at[i]])]
+        short = size[at] <= SHORT
+        two = np.flatnonzero(short[:-1] & short[1:] & (sentence[:-1] == sentence[1:]))
+        pair, which = np.unique(at[two] << 32 | at[two + 1], return_inverse=True)
+        joined = [bare[i] + bare[j] for i, j in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist(), strict=True)]
+        kept = np.flatnonzero(~long & (size > 0)).tolist()
+        place = self._places({*joined, *[bare[i] for i in kept], *[p for _, p in torn]})
+        of_word = np.zeros(len(bare), np.int64)
+        of_word[kept] = [place[bare[i]] for i in kept]
+        of_pair = np.array([place[p] for p in joined], dtype=np.int64)
+        usual = ~long[at]
+        owner = np.concatenate([sentence[usual], sentence[two], np.array([i for i, _ in torn], dtype=np.int64)])
+        parts_at = np.concatenate([of_word[at[usual]], of_pair[which], np.array([place[p] for _, p in torn], dtype=np.int64)])
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        sizes = np.bincount(_distinct(text_of[owner], parts_at)[0], minlength=len(texts)).tolist()
+        # Parts that have nothing in common with any landmark change no largest value.
+        some = self.any[parts_at]
+        owner, parts_at = _distinct(owner[some], parts_at[some])
+        begin = np.flatnonzero(np.diff(owner, prepend=-1))
+        out = np.zeros((len(lengths), self.table.shape[1]), np.uint8)
+        out[owner[begin]] = self._largest(parts_at, np.append(begin, len(owner)))
+        return out, counts, sizes
+
 
 @dataclass
 class ToxicityModel:
@@ -219,14 +298,24 @@ class ToxicityModel:
         of = SentenceMap(self.landmarks)
         weights = (self.weights / 255).astype(np.float32)
 
-        def run(texts: list[str | None]) -> list[float]:
-            bags = [[parts(s) for s in sentences(t or "")] for t in texts]
-            margin = of.values([b for d in bags for b in d]).astype(np.float32) @ weights + self.bias
-            ends = np.cumsum([0, *[len(d) for d in bags]]).tolist()
-            sizes = [len(set().union(*d)) for d in bags]
-            rows = np.stack([document_features(margin[a:z], n, self.bias) for a, z, n in zip(ends, ends[1:], sizes)]) if bags else np.zeros((0, WORST + 2))
+        def some(texts: list[str]) -> list[float]:
+            values, counts, sizes = of.documents(texts)
+            margin = values.astype(np.float32) @ weights + self.bias
+            ends = np.cumsum([0, *counts]).tolist()
+            rows = np.stack([document_features(margin[a:z], n, self.bias) for a, z, n in zip(ends, ends[1:], sizes)])
             return (1 / (1 + np.exp(-np.clip(rows @ self.curve, -40, 40)))).tolist()
 
+        def run(texts: list[str | None]) -> list[float]:
+            out: list[float] = []
+            group, size = [], 0
+            for t in texts:
+                group.append(t or "")
+                size += len(group[-1])
+                if size >= SCORED_CHARS:
+                    out += some(group)
+                    group, size = [], 0
+            return out + some(group) if group else out
+
         return run
 
 

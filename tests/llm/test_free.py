@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -119,6 +120,41 @@ def test_sentence_values_are_the_largest_of_their_parts():
     assert (of.values(many[1000:]) == whole[1000:]).all()
 
 
+def test_documents_are_read_as_their_sentences_and_parts():
+    rng = np.random.default_rng(4)
+    bits = [*"ab .!?\n-_'\"\0\x1f", " the", ". ", "idiot", "worthless ", "a b c d e", " i d i o t ", "x" * 30, "\r\n", "É", "İ", "日本"]
+    texts = ["", " ", "...", "- - -", *["".join(rng.choice(bits, rng.integers(1, 40))) for _ in range(600)]]
+    lm = toxicity.Landmarks(["worthless", "thereis", "idiot"])
+    bags = [[toxicity.parts(s) for s in toxicity.sentences(t)] for t in texts]
+    values, counts, sizes = toxicity.SentenceMap(lm).documents(texts)
+    assert counts == [len(d) for d in bags] and sizes == [len(set().union(*d)) for d in bags]
+    assert (values == toxicity.SentenceMap(lm).values([b for d in bags for b in d])).all()
+    assert [len(x) for x in toxicity.SentenceMap(lm).documents([])] == [0, 0, 0]
+    # A text is scored alike alone and among others; a NUL inside a word is a character like any other.
+    model = toxicity.ToxicityModel(lm, np.array([2.0, 1.0, 3.0]), -1.0, np.array([1.0, 0.2, 0.1, -0.1, 0.3]))
+    whole = model.scorer()([*texts, None])
+    assert whole == pytest.approx([model.scorer()([t])[0] for t in [*texts, None]], abs=1e-6)
+    assert model.scorer()([]) == [] and lm.kernel(["wor\0thless", "idiot"])[1, 2] == pytest.approx(1)
+
+
+def test_kernel_is_the_sum_over_shared_subsequences():
+    def spans(word):  # of the first character of a word or its mark on, three more within SPAN
+        s, out = "\x1b" + word, {}
+        for i in range(len(s)):
+            for c in itertools.combinations(range(i + 1, min(i + toxicity.SPAN, len(s))), 3):
+                key = s[i] + "".join(s[k] for k in c)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (c[-1] - i - 3)
+        return out
+
+    words = ["worthless", "wortless", "aaaaaa", "banana", "the", "", "anbana"]
+    lm = toxicity.Landmarks(words[:4])
+    dot = lambda a, b: sum(v * b.get(k, 0) for k, v in a.items())
+    of = [spans(w) for w in words]
+    want = [[(dot(a, b) / max(1e-12, np.sqrt(dot(a, a) * dot(b, b)))) ** toxicity.POWER for b in of[:4]] for a in of]
+    assert np.abs(lm.kernel(words) - np.array(want)).max() < 1e-6
+    assert np.abs(lm.kernel(words * 400) - np.tile(want, (400, 1))).max() < 1e-6  # more than a block of 1,024
+
+
 def test_samples_are_bounded_by_rows(spark):
     d = docs(spark, [(1 if i % 2 else 2 + i, f"text {i}", "en") for i in range(300)])
     labels = spark.createDataFrame([(i, i % 3 % 2, 0, 5) for i in range(300)] + [(5, 0, 0, 5), (8, 1, 1, 5)], "doc_id long, toxic int, quality int, text int")
