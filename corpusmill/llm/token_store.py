@@ -50,6 +50,8 @@ TABLE_BITS = 21
 #: Bytes of text encoded together, and of the longest piece that is remembered.
 GROUP_BYTES = 1 << 18
 LONGEST_PIECE = 64
+#: New pieces encoded in one text.
+TOGETHER = 100
 #: Marks that may follow a word.
 _MARKS = ".,!?;:%$#&*"
 
@@ -86,17 +88,16 @@ class PieceTable:
             step += 1
         return out
 
-    def add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Keys must be distinct and not there yet."""
-        length = np.array([len(x) for x in ids], dtype=np.int64)
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Keys must be distinct and not there yet. ``ids``: of all pieces, ``length`` of each."""
         start = self.used + np.cumsum(length) - length
         end = self.used + int(length.sum())
         if end > len(self.ids):
             grown = np.zeros(max(end, 2 * len(self.ids)), "<u2")
             grown[: self.used] = self.ids[: self.used]
             self.ids = grown
-        self.ids[self.used : end] = np.concatenate(ids)
-        self.used, self.count = end, self.count + len(ids)
+        self.ids[self.used : end] = ids
+        self.used, self.count = end, self.count + len(length)
         open_, step = np.arange(len(key)), 0
         while len(open_):
             s = self._slots(key[open_], step)
@@ -131,24 +132,41 @@ class PieceEncoder:
             raise ValueError("ids must fit 16 bits")
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.glued = not any(" " in a for a in self.added)
+        self.bytes = np.zeros(1 << 16, np.int64)  # that an id stands for: its characters, in a byte-level vocabulary
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
         self.other_space = re.compile(_OTHER_SPACE)
         self.table = PieceTable()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece; many go in one call as lines, as a line feed stands alone and no piece holds one besides others."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            (e,) = self.tokenizer.encode_batch_fast(["\n".join(["x" if p == "\n" else p for p in part]) + "\n"], add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u2")
-            ends = np.flatnonzero(ids == self.feed).tolist()
-            out += [ids[a:b] for a, b in zip([0, *[x + 1 for x in ends[:-1]]], ends, strict=True)]
-            if "\n" in part:
-                out[at + part.index("\n")] = np.array([self.feed], dtype="<u2")
-        return out
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many of them each has.
+
+        Many pieces go in one text, some of them as a line, because a line feed and a space after any piece end it; a
+        piece's ids are those that stand for its bytes. Time grows faster than a text, so a text has ``TOGETHER`` pieces.
+        """
+        if not pieces:
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        # A line feed and a NUL stand for themselves only, and hold a place here.
+        alone = [b"x" if p in (b"\n", b"\0") else p for p in pieces]
+        split = [b"" if not i % TOGETHER or (self.glued and p[0] == 32) else b"\n" for i, p in enumerate(alone)]
+        lines = [a + p for a, p in zip(split, alone, strict=True)]
+        texts = [b"".join(lines[i : i + TOGETHER]).decode("utf-8", "surrogatepass") for i in range(0, len(lines), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        before = np.array([len(a) for a in split], dtype=np.int64)
+        stop = np.cumsum([len(p) for p in lines])
+        bound = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        first, last = np.searchsorted(bound, np.concatenate([[0], stop[:-1]]) + before), np.searchsorted(bound, stop)
+        if (bound[last] != stop).any() or (bound[first] != stop - [len(p) for p in alone]).any():
+            raise ValueError("ids must stand for the bytes of pieces")
+        held = np.ones(len(ids), bool)
+        held[first[before > 0] - 1] = False
+        if b"\n" in pieces:
+            ids[first[pieces.index(b"\n")]] = self.feed
+        return ids[held], last - first
 
     def _odd(self, text: str) -> bool:
         """Whether a text must be encoded whole for its white space or an added token."""
@@ -207,8 +225,8 @@ class PieceEncoder:
                 return
             new = missing[first]
             # Long pieces only fill a place here, as their texts are encoded whole.
-            some = [raw[a:z].decode("utf-8", "surrogatepass") if z - a <= LONGEST_PIECE else "x" for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            table.add(key[new], check[new], self._pieces(["x" if x == "\0" else x for x in some]))
+            some = [raw[a:z] if z - a <= LONGEST_PIECE else b"x" for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            table.add(key[new], check[new], *self._pieces(some))
             slot[missing] = table.find(key[missing], check[missing])
         length = table.length[slot].astype(np.int64)
         length[stop] = 0

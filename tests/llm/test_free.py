@@ -61,6 +61,39 @@ def test_lines_share_pieces():
     assert coder.table.count == held
 
 
+def test_new_pieces_go_to_the_tokenizer_in_short_texts():
+    """Its time grows faster than a text, and line feeds between pieces cost as much as pieces."""
+    coder, seen = token_store.PieceEncoder(tokenizer_path()), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    tokenizer, coder.tokenizer = coder.tokenizer, Watched()
+    text = " ".join(f"w{i}" for i in range(3000))
+    assert coder.encode([text]) == [np.array(fresh_ids([text])[0], "<u2").tobytes()]
+    assert max(len(t.split()) for t in seen) <= token_store.TOGETHER
+    assert sum(t.count("\n") for t in seen) <= 2  # before the first word and the mark of a text's end
+
+
+@pytest.mark.parametrize("together", [1, 2, 100])
+@pytest.mark.parametrize("glued", [True, False])
+def test_pieces_are_told_apart_by_their_bytes(monkeypatch, together, glued):
+    monkeypatch.setattr(token_store, "TOGETHER", together)
+    coder = token_store.PieceEncoder(tokenizer_path())
+    assert coder.glued
+    coder.glued = glued
+    pieces = [" Foo", "Foo", "\n", " 日本é", ".5%", "...", " ll", "'ll", " 😀x", "\0", " 's", "é", " <|endof", "text|>"]
+    ids, length = coder._pieces([p.encode() for p in pieces])
+    want = fresh_ids(["x" if p == "\0" else p for p in pieces])
+    assert ids.tolist() == [i for x in want for i in x] and length.tolist() == [len(x) for x in want]
+    rng = np.random.default_rng(together)
+    bits = [*"ab .,!?;:%$#&*\n-_'\"0<|é日😀", " the", "'ll", " <|endof", "text|>", "\x1c", "\x85", "\u200b", "\u3000", "\u180e", "\ufeff", "x" * 70]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(1500)]
+    assert coder.encode(texts) == [np.array(x, "<u2").tobytes() for x in fresh_ids(texts)]
+
+
 def expected(rows):
     """(doc_id, start, n_tokens, ids_crc32) of rows (doc_id, text, ...), nulls first, repeated doc_ids by checksum."""
     coded = [(r[0], [*x, 2]) for r, x in zip(rows, fresh_ids([r[1] for r in rows]))]
