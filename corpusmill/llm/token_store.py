@@ -331,10 +331,11 @@ def _encoder(path: str, name: str, ranges: Ranges):
 
 
 def _forget() -> None:
-    """Drop what encoding has left in this worker, for the steps after it."""
-    _ENCODERS.clear()
-    _POWERS.clear()
-    store.release()
+    """Drop what encoding has left in this worker, for the steps after it; they need not collect garbage at each task."""
+    if _ENCODERS or _POWERS:
+        _ENCODERS.clear()
+        _POWERS.clear()
+        store.release()
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,15 +354,17 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit numbers. The last group is filled up with zeros of one byte, left out of the data."""
     v = np.ascontiguousarray(values, dtype="<u4")
-    size = np.ones(len(v), dtype=np.uint8)
-    for k in (8, 16, 24):
-        size += v >= 1 << k
     padded = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    padded[: len(v)] = size - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    most = int(v.max()) if len(v) else 0
+    for k in (8, 16, 24):
+        if most >> k:
+            padded[: len(v)] += v >= 1 << k
+    four = padded.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << np.uint8(2) | four[:, 2] << np.uint8(4) | four[:, 3] << np.uint8(6)
+    size = padded[: len(v)] + np.uint8(1)
     start = np.cumsum(size, dtype=np.int64) - size
     data = np.empty(int(start[-1]) + int(size[-1]) if len(v) else 0, dtype=np.uint8)
-    data[start] = v & 255
+    data[start] = v.astype(np.uint8)
     for k in (1, 2, 3):
         at = np.flatnonzero(size > k)
         if not len(at):

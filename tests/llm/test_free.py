@@ -94,6 +94,17 @@ def test_pieces_are_told_apart_by_their_bytes(monkeypatch, together, glued):
     assert coder.encode(texts) == [np.array(x, "<u2").tobytes() for x in fresh_ids(texts)]
 
 
+def test_forgetting_costs_nothing_where_nothing_is_left(monkeypatch):
+    calls = []
+    token_store._forget()
+    monkeypatch.setattr(store, "release", lambda: calls.append(1))
+    token_store._forget()
+    assert not calls
+    token_store.encoder(tokenizer_path())
+    token_store._forget()
+    assert calls == [1] and not token_store._ENCODERS
+
+
 def expected(rows):
     """(doc_id, start, n_tokens, ids_crc32) of rows (doc_id, text, ...), nulls first, repeated doc_ids by checksum."""
     coded = [(r[0], [*x, 2]) for r, x in zip(rows, fresh_ids([r[1] for r in rows]))]
